@@ -25,6 +25,36 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.sharding import shard
+
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    return shard(docs).select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+_OP5_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+heads AS (SELECT h, n, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY h, n)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN head IS NOT NULL AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN heads USING (h, n)
+"""
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.size("removed").cast("long")
+    return found.select("row.doc_id", "n_lines", removed.alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,10 +89,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_simhash": op3_simhash,
+        "op4_sharding": op4_sharding,
+        "op5_warc": op5_warc,
+        "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": _OP10_SQL}
+    return {"op5_warc": _OP5_SQL, "op10_decontamination": _OP10_SQL}
