@@ -63,6 +63,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.license_scan import scan
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.decontam import decontaminate
 
@@ -93,9 +100,12 @@ def queries() -> dict[str, Query]:
         "op5_warc": op5_warc,
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
+        "op8_license_scan": op8_license_scan,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": _OP5_SQL, "op10_decontamination": _OP10_SQL}
+    from marlstone.llm.license_scan import oracle
+
+    return {"op5_warc": _OP5_SQL, "op8_license_scan": oracle(), "op10_decontamination": _OP10_SQL}
