@@ -70,6 +70,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("licences", ",").alias("licences"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.decontam import decontaminate
 
@@ -101,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op6_line_dedup": op6_line_dedup,
         "op7_packing": op7_packing,
         "op8_license_scan": op8_license_scan,
+        "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
     }
 
