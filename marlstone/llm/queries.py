@@ -19,6 +19,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marlstone.llm.quality_model import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.simhash import near_duplicates
 
@@ -101,6 +107,7 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN owners USING (r)
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_quality_model": op2_quality_model,
         "op3_simhash": op3_simhash,
         "op4_sharding": op4_sharding,
         "op5_warc": op5_warc,
