@@ -51,6 +51,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count("t", F.lit("!(?=[ \t\n\x0b\f\r]|$)")).cast("long").alias("n_marked"),
         F.size(F.filter("w", lambda x: F.length(x) <= 3)).cast("long").alias("n_short"),
         F.regexp_count("t", F.lit(f"(?<![^ \t\n\x0b\f\r]){SYMBOLS}{{1,3}}(?![^ \t\n\x0b\f\r])")).cast("long").alias("n_bare"),
+        # not deterministic: a filter on what follows is not pushed below, where the optimizer would repeat these expressions many times over
+        F.monotonically_increasing_id().alias("at"),
     )
 
 
@@ -131,4 +133,4 @@ def judge(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFram
         z = z + F.when(F.col(name) > 0, up).when(F.col(name) < 0, down).otherwise(0.0)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     quality = 1 / (1 + F.exp(-z))
-    return voted.select("row", *(c for c in counted.columns if c != "row"), failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= threshold)).alias("kept"), *names)
+    return voted.select("row", *(c for c in counted.columns if c not in ("row", "at")), failed.alias("base_failed"), quality.alias("quality"), ((F.col("at") >= 0) & ~failed & (quality >= threshold)).alias("kept"), *names)
