@@ -23,26 +23,32 @@ DISCOUNT = 2.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _path(word: str) -> list[int]:
-    """Buckets of the word's beginnings and of the whole word; bucket 0 is the root above them."""
-    raw = [zlib.crc32(word[:k].encode("utf-8", "surrogatepass")) for k in range(1, min(DEPTH, len(word)) + 1)]
-    raw.append(zlib.crc32(word.encode("utf-8", "surrogatepass") + b"$"))
-    return [x % (NODES - 1) + 1 for x in raw]
+def _paths(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word's beginnings and of the whole word, one path after the other, and where each path begins.
 
-
-def _paths(words) -> tuple[np.ndarray, np.ndarray]:
-    """The paths of some words, one after the other, and where each begins."""
-    flat, begins = [], []
-    for w in words:
-        begins.append(len(flat))
-        flat += _path(w)
-    return np.array(flat, dtype=np.int64), np.array(begins, dtype=np.int64)
+    Bucket 0 is the root above all paths.
+    """
+    if not words:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    letters = np.array(words, dtype=f"U{DEPTH}").view(np.uint32).reshape(len(words), DEPTH).astype(np.uint64)
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
+    nodes = np.empty((len(words), DEPTH + 1), dtype=np.int64)
+    h = np.full(len(words), 0x51ED27, dtype=np.uint64)
+    for k in range(DEPTH):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + letters[:, k]
+        h ^= h >> np.uint64(29)
+        nodes[:, k] = h % np.uint64(NODES - 1) + np.uint64(1)
+    nodes[:, DEPTH] = whole * np.uint64(0x9E3779B97F4A7C15) % np.uint64(NODES - 1) + np.uint64(1)
+    there = np.hstack([letters > 0, np.ones((len(words), 1), dtype=bool)])
+    return nodes[there], np.r_[0, np.cumsum(there.sum(axis=1))[:-1]]
 
 
 def _count_words(texts: list[str], into: np.ndarray, parents: np.ndarray | None = None) -> None:
     for lo, hi in steps(texts):
-        counts = Counter(w for t in texts[lo:hi] for w in _WORD.findall(t.lower()))
-        nodes, begins = _paths(counts)
+        counts: Counter = Counter()
+        for t in texts[lo:hi]:
+            counts.update(_WORD.findall(t.lower()))
+        nodes, begins = _paths(list(counts))
         if len(nodes):
             n = np.repeat(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), np.diff(np.r_[begins, len(nodes)]))
             into += np.bincount(nodes, weights=n, minlength=NODES).astype(np.int64)
@@ -94,31 +100,28 @@ def log_ratios(shared: dict[str, np.ndarray], classes: dict[str, np.ndarray]) ->
     return ratio
 
 
-class _Ratios(dict):
-    """A word's log ratio, remembered up to a bound."""
-
-    def __init__(self, table: np.ndarray):
-        super().__init__()
-        self.table = table
-
-    def __missing__(self, w):
-        if len(self) > 300_000:
-            self.clear()
-        x = self[w] = float(self.table[_path(w)].sum())
-        return x
-
-
 _FEATURES = ["whole", "first", "top"]
 
 
-def _features(texts: list[str], ratios: _Ratios, top: int = 4) -> np.ndarray:
+def _features(texts: list[str], table: np.ndarray, top: int = 4) -> np.ndarray:
     """Per text the log ratio by word: over the whole text, of its most telling word, and over the ``top`` most telling ones."""
     out = np.zeros((len(texts), 3))
-    for i, t in enumerate(texts):
-        r = np.array(list(map(ratios.__getitem__, _WORD.findall(t.lower()))))
-        if len(r):
-            best = np.partition(r, len(r) - top)[-top:] if len(r) > top else r
-            out[i] = r.mean(), r.max(), best.sum() / top
+    for lo, hi in steps(texts):
+        number: dict[str, int] = {}
+        flat: list[int] = []
+        ends = []
+        for t in texts[lo:hi]:
+            flat += [number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())]
+            ends.append(len(flat))
+        if not flat:
+            continue
+        nodes, begins = _paths(list(number))
+        ratio = np.add.reduceat(table[nodes], begins)[np.array(flat)]
+        for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            r = ratio[a:b]
+            if len(r):
+                best = np.partition(r, len(r) - top)[-top:] if len(r) > top else r
+                out[lo + i] = r.mean(), r.max(), best.sum() / top
     return out
 
 
@@ -156,9 +159,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
         held = spark.sparkContext.broadcast(table)
 
         def run(batches):
-            ratios = _Ratios(held.value)
             for b in batches:
-                f = _features(texts_of(b.column(1)), ratios)
+                f = _features(texts_of(b.column(1)), held.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(3))], names=["key", *_FEATURES])
 
         return rows.mapInArrow(run, "key long, " + ", ".join(f"{x} double" for x in _FEATURES))
