@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,64 +34,68 @@ def _overlap(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil(percent * (nx + ny) / F.lit(100.0 + percent) - 1e-9).cast("long")
 
 
-def _possible(x: str, y: str, percent: int) -> Column:
-    """Length filter and bitmap filter: neither drops a pair that is similar enough."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = F.bit_count(F.col(f"{x}.bm").bitwiseXOR(F.col(f"{y}.bm")))
-    return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & (differ <= nx + ny - 2 * _overlap(nx, ny, percent))
+def _possible(nx: Column, ny: Column, bx: Column, by: Column, percent: int) -> Column:
+    """Bitmap filter and length filter: neither drops a pair that is similar enough."""
+    return (F.bit_count(bx.bitwiseXOR(by)) <= nx + ny - 2 * _overlap(nx, ny, percent)) & (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
 
 
 def rarity_sketch(lines: DataFrame, bits: int) -> bytes:
-    """A level from 0 to 15 for each of 2 ** ``bits`` hash buckets of words: the logarithm of how often they occur.
+    """A level from 0 (rare) to 7 for each of 2 ** ``bits`` hash buckets of words, two to a byte.
 
     All words of all lines are counted, combined on the map side; the result has a fixed size.
     Any order of tokens gives the same matches: a word that shares a bucket only costs time.
     """
     counts = lines.select(F.explode(words_of(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("b")).groupBy("b").count()
-    levels = bytearray(1 << bits)
-    for b, level in counts.select("b", F.least(F.lit(15), F.floor(F.log2("count"))).cast("int")).filter("count > 1").toLocalIterator():
-        levels[b] = level
-    return bytes(levels)
+    logs = dict(counts.select("b", F.floor(F.log2("count")).cast("int")).collect())
+    least = sorted(logs.values())[len(logs) // 10] if logs else 0
+    table = bytearray(1 << bits - 1)
+    for b, x in logs.items():
+        table[b >> 1] |= min(7, max(0, x - least)) << 3 * (b & 1)
+    return bytes(table)
 
 
-def _by_rarity(line: Column, levels: bytes) -> Column:
-    """The line's distinct tokens, rarest first: the level in the upper 4 bits, 60 bits of hash below."""
-    bits = int(math.log2(len(levels)))
-    table = F.lit(levels)
+def _by_rarity(line: Column, table: bytes) -> Column:
+    """The line's distinct tokens, rarest first: the bucket's level, then longer words, then a hash of 56 bits."""
+    held = F.lit(table)
 
     def key(w):
         h = F.xxhash64(w)
-        at = h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + 1
-        level = F.hex(F.substring(table, at, F.lit(1)))
-        return F.call_function("shiftleft", F.conv(level, 16, 10).cast("long") - 8, F.lit(60)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(4)))
+        b = h.bitwiseAND(F.lit(2 * len(table) - 1)).cast("int")
+        pair = F.ascii(F.substring(held, F.call_function("shiftright", b, F.lit(1)) + 1, F.lit(1)).cast("string"))
+        level = F.call_function("shiftright", pair, 3 * b.bitwiseAND(F.lit(1))).bitwiseAND(F.lit(7))
+        rank = 16 * level + 15 - F.least(F.length(w), F.lit(15))
+        return F.call_function("shiftleft", rank.cast("long"), F.lit(56)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(8)))
 
     return F.sort_array(F.array_distinct(F.transform(words_of(line), key)))
 
 
-def _postings(lines: DataFrame, levels: bytes, percent: int) -> DataFrame:
-    """One row per line and prefix token: a similar line shares a token of its own prefix with it."""
-    step = lines.select("cid", "doc_id", "line_no", _by_rarity(F.col("line"), levels).alias("tokens"))
+def _postings(lines: DataFrame, table: bytes, percent: int) -> DataFrame:
+    """One row per line and prefix token: a similar line shares a token of its own prefix with it.
+
+    Rows are kept narrow: size, position and whether the line is settled share one long.
+    """
+    step = lines.select("cid", "settled", _by_rarity(F.col("line"), table).alias("tokens"))
     n = F.size("tokens")
     prefix = n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1
-    step = step.select("cid", "doc_id", "line_no", n.alias("n"), _bitmap(F.col("tokens")).alias("bm"), F.slice("tokens", 1, prefix).alias("prefix"))
-    return step.select("cid", "doc_id", "line_no", "n", "bm", F.posexplode("prefix").alias("pos", "token"))
+    step = step.select("cid", (n.cast("long") * (1 << 32) + F.col("settled").cast("long")).alias("size"), _bitmap(F.col("tokens")).alias("bm"), F.slice("tokens", 1, prefix).alias("prefix"))
+    return step.select("cid", "size", "bm", F.posexplode("prefix").alias("pos", "token")).select("cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "bm", "token")
 
 
-def _earlier(y: str, x: str) -> Column:
-    order = lambda k: F.struct(f"{k}.doc_id", f"{k}.line_no", f"{k}.cid")
-    return order(y) < order(x)
+def _side(postings: DataFrame, name: str) -> DataFrame:
+    return postings.select("token", F.struct("cid", "packed", "bm").alias(name))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The ``x`` of those pairs ``(x, y)`` whose whole lines are similar enough."""
-    words = lines.select("cid", F.array_distinct(words_of(F.col("line"))).alias("w"))
-    both = pairs.distinct().join(words.select(F.col("cid").alias("x"), F.col("w").alias("wx")), "x").join(words.select(F.col("cid").alias("y"), F.col("w").alias("wy")), "y")
+    text = lines.select("cid", "line")
+    both = pairs.distinct().join(text.select(F.col("cid").alias("x"), F.col("line").alias("lx")), "x").join(text.select(F.col("cid").alias("y"), F.col("line").alias("ly")), "y")
+    words = both.select("x", *(F.array_distinct(words_of(F.col(c))).alias(w) for c, w in (("lx", "wx"), ("ly", "wy"))))
     common = F.size(F.array_intersect("wx", "wy"))
-    return both.filter((100 + percent) * common >= percent * (F.size("wx") + F.size("wy"))).select("x").distinct()
+    return words.filter((100 + percent) * common >= percent * (F.size("wx") + F.size("wy"))).select("x").distinct()
 
 
-def later_matches(lines: DataFrame, percent: int = 80, sketch_bits: int = 18) -> DataFrame:
-    """``(x)``: ids of those lines of ``lines(cid, doc_id, line_no, line)`` to which an earlier line is similar.
+def later_matches(lines: DataFrame, percent: int = 80, sketch_bits: int = 16) -> DataFrame:
+    """``(x)``: ids of those lines of ``lines(cid, line)`` to which a line with a smaller id is similar.
 
     First, lines that share a minimum hash are compared with the two before them in order: that
     settles most members of a group of near copies without forming its pairs.  Then each line that is still
@@ -102,20 +104,26 @@ def later_matches(lines: DataFrame, percent: int = 80, sketch_bits: int = 18) ->
     open line has no verified match so far, so no group forms all its pairs in the join.
     """
     spark = lines.sparkSession
-    tokens = lines.select("cid", "doc_id", "line_no", _token_set(F.col("line")).alias("tokens"))
-    keyed = tokens.select("doc_id", "line_no", F.struct("cid", F.size("tokens").alias("n"), _bitmap(F.col("tokens")).alias("bm")).alias("x"), F.slice(F.sort_array("tokens"), 1, 3).alias("keys"))
-    keyed = keyed.select("doc_id", "line_no", "x", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy("doc_id", "line_no", "x.cid")
+    tokens = lines.select("cid", _token_set(F.col("line")).alias("tokens"))
+    keyed = tokens.select("cid", F.struct("cid", F.size("tokens").alias("n"), _bitmap(F.col("tokens")).alias("bm")).alias("x"), F.slice(F.sort_array("tokens"), 1, 3).alias("keys"))
+    keyed = keyed.select("cid", "x", F.explode("keys").alias("key"))
+    order = Window.partitionBy("key").orderBy("cid")
     before = keyed.select("x", F.lag("x", 1).over(order).alias("y1"), F.lag("x", 2).over(order).alias("y2"))
     pairs = before.select("x", F.explode(F.array("y1", "y2")).alias("y")).filter("y is not null")
-    settled, settled_path = materialize(_verified(pairs.filter(_possible("x", "y", percent)).select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")), lines, percent), "lines-settled")
+    near = _possible(*(F.col(c) for c in ("x.n", "y.n", "x.bm", "y.bm")), percent)
+    settled, settled_path = materialize(_verified(pairs.filter(near).select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")), lines, percent), "lines-settled")
     release(spark)
-    levels = rarity_sketch(lines, sketch_bits)
+    table = rarity_sketch(lines, sketch_bits)
     release(spark)
-    opened = lines.join(settled.withColumnRenamed("x", "cid"), "cid", "left_anti")
-    x, y = _postings(opened, levels, percent).alias("x"), _postings(lines, levels, percent).alias("y")
-    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))  # positions from 0: the token itself counts
-    joined = x.join(y, (F.col("x.token") == F.col("y.token")) & _earlier("y", "x") & _possible("x", "y", percent) & (left >= _overlap(F.col("x.n"), F.col("y.n"), percent)))
+    marked = lines.join(settled.select(F.col("x").alias("cid"), F.lit(True).alias("s")), "cid", "left").select("cid", "line", F.coalesce("s", F.lit(False)).alias("settled"))
+    postings = _postings(marked, table, percent)  # both sides are the same exchange
+    size = lambda k: F.call_function("shiftright", F.col(f"{k}.packed"), F.lit(32))
+    pos = lambda k: F.call_function("shiftright", F.col(f"{k}.packed").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(1))
+    nx, ny = size("x"), size("y")
+    left = F.least(nx - pos("x"), ny - pos("y"))  # positions from 0: the token itself counts
+    x, y = _side(postings, "x"), _side(postings, "y")
+    open_ = F.col("x.packed").bitwiseAND(F.lit(1)) == 0
+    joined = x.join(y, (x["token"] == y["token"]) & open_ & (F.col("y.cid") < F.col("x.cid")) & _possible(nx, ny, F.col("x.bm"), F.col("y.bm"), percent) & (left >= _overlap(nx, ny, percent)))
     found, found_path = materialize(_verified(joined.select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")), lines, percent), "lines-found")
     release(spark)
     both, _ = materialize(settled.unionByName(found), "lines-later")
@@ -124,7 +132,7 @@ def later_matches(lines: DataFrame, percent: int = 80, sketch_bits: int = 18) ->
     return both
 
 
-def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 5, sketch_bits: int = 18) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 5, sketch_bits: int = 16) -> DataFrame:
     """``(row, text, n_lines, removed)`` for every row of ``df``: its text without lines that came before.
 
     Lines are parts between \\n; a line's tokens are its distinct words.  A line of at least
@@ -141,10 +149,12 @@ def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", perce
     lines = _lines(df, text, id_col).filter(_long_enough(F.col("line"), min_words))
     h1, h2 = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2")
     classes = lines.groupBy("line").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "line_no", "th")).alias("first"))
-    classes, classes_path = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "first.doc_id", "first.line_no", "first.th", "line", h1, h2), "lines")
+    # ids follow the order of the first lines: range partitions, sorted, numbered one after the other
+    ordered = classes.repartitionByRange("first").sortWithinPartitions("first")
+    classes, classes_path = materialize(ordered.select(F.monotonically_increasing_id().alias("cid"), "first", "line", h1, h2), "lines")
     release(spark)
-    later = later_matches(classes.select("cid", "doc_id", "line_no", "line"), percent, sketch_bits)
-    heads = classes.select("cid", F.struct("doc_id", "line_no", "th").alias("first"), "h1", "h2").join(later.select(F.col("x").alias("cid"), F.lit(True).alias("later")), "cid", "left").select("h1", "h2", "first", F.coalesce("later", F.lit(False)).alias("later"))
+    later = later_matches(classes.select("cid", "line"), percent, sketch_bits)
+    heads = classes.select("cid", "first", "h1", "h2").join(later.select(F.col("x").alias("cid"), F.lit(True).alias("later")), "cid", "left").select("h1", "h2", "first", F.coalesce("later", F.lit(False)).alias("later"))
     heads, _ = materialize(heads, "line-heads")
     discard(spark, classes_path)
     release(spark)
