@@ -112,6 +112,8 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataF
                     fields = dict(x.partition(": ")[::2] for x in block.decode().split("\r\n")) if kind == "metadata" else {}
                     digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     rows.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, int(fields["page-id"]) if fields.get("page-id") else None, int(fields["payload-bytes"]) if "payload-bytes" in fields else None, None if body is None else len(body), None if body is None else hashlib.sha1(body).hexdigest(), body if payload else None))
+                if not rows:  # an archive without records
+                    continue
                 kinds = [pa.string()] * 6 + [pa.int64()] * 3 + [pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _RECORD.split(", ")])
 
