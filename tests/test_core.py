@@ -78,3 +78,46 @@ def test_generations_are_whole(spark, tmp_path):
     publish(spark.range(7), 2)
     publish(spark.range(7), 2)  # again after a failure
     assert current(spark, str(tmp_path / "snap")).count() == 7
+
+
+def test_matrix_files(spark, tmp_path):
+    import struct
+
+    import numpy as np
+
+    from marlstone.sources import matrices
+
+    m = np.arange(6, dtype="<f4").reshape(2, 3)
+    good = struct.pack("<Iii", matrices.CATALOG_MAGIC, 2, 3) + m.tobytes()
+    (tmp_path / "c.bin").write_bytes(good)
+    assert [r.embedding for r in matrices.read(spark, str(tmp_path / "c.bin")).orderBy("item_id").collect()] == m.tolist()
+    for bad in (good[:-1], b"x" + good[1:], good[:4] + b"\xff" * 4 + good[8:], good[:-4] + struct.pack("<f", float("nan"))):
+        with pytest.raises(ValueError):
+            matrices.parse(bad, matrices.CATALOG_MAGIC)
+
+
+def test_synthetic_inputs(spark):
+    from marlstone.sources import synthetic
+
+    r = synthetic.zipf_events(spark, 5000, 10, 50).groupBy("item_id").count().orderBy("item_id").collect()
+    assert r[0].item_id == 0 and r[-1].item_id <= 49 and r[0]["count"] > 3 * r[-1]["count"]
+    v = synthetic.clustered_catalog(spark, 20, 8).collect()
+    assert all(abs(sum(x * x for x in row.embedding) - 1) < 1e-5 for row in v)
+    raw = spark.createDataFrame([("1", "", "7", "0.5"), ("2", "3", "8", None), (None, "4", "9", "1")], "user_id string, video_id string, item string, watch_ratio string")
+    assert [tuple(x) for x in synthetic.watched(raw).orderBy("user").collect()] == [(1, 7, 0, 0.5), (2, 3, 0, 0.0)]
+
+
+def test_accounts(spark, tmp_path):
+    from marlstone.operators import accounts
+
+    changes = spark.createDataFrame([(1, 5, 1, 1), (1, 5, 0, 2), (1, 6, -1, 3), (2, 5, 1, 4)], "user_id long, item_id long, value int, revision long")
+    prefs = accounts.preferences(changes)
+    assert {tuple(r) for r in prefs.collect()} == {(1, 6, -1, 3), (2, 5, 1, 4)}
+    left = accounts.without_deleted({"p": prefs}, spark.createDataFrame([(1,)], "user_id long"))["p"]
+    assert [r.user_id for r in left.collect()] == [2]
+    assert accounts.exported({"p": prefs, "c": changes}, 2).count() == 2
+    path = str(tmp_path / "bundle")
+    accounts.write_bundle({"catalog": spark.range(3), "movies": spark.range(4)}, path)
+    assert accounts.faults(spark, path).count() == 0
+    next((tmp_path / "bundle" / "movies").glob("*.parquet")).unlink()
+    assert accounts.faults(spark, path).first().fault == "missing"
