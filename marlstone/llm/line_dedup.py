@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import as_row, discard, materialize, release, words_of
 
+# Generators here are the outer ones: for the others the optimizer infers a filter on the array and pushes it
+# down, where the array is computed once more for every mention.  No line has an empty array.
 _SPACE, _WORD = r"[ \t\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
 
 
 def _lines(df: DataFrame, text: str, id_col: str) -> DataFrame:
     """``(doc_id, th, line_no, line)``; ``th`` tells apart different texts under one doc_id."""
     t = F.col(text).cast("string")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), F.posexplode(F.split(t, "\n")).alias("line_no", "line"))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), F.posexplode_outer(F.split(t, "\n")).alias("line_no", "line"))
 
 
 def _long_enough(line: Column, min_words: int) -> Column:
@@ -45,7 +47,7 @@ def rarity_sketch(lines: DataFrame, bits: int) -> bytes:
     All words of all lines are counted, combined on the map side; the result has a fixed size.
     Any order of tokens gives the same matches: a word that shares a bucket only costs time.
     """
-    counts = lines.select(F.explode(words_of(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("b")).groupBy("b").count()
+    counts = lines.select(F.explode_outer(words_of(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("b")).groupBy("b").count()
     logs = dict(counts.select("b", F.floor(F.log2("count")).cast("int")).collect())
     least = sorted(logs.values())[len(logs) // 10] if logs else 0
     table = bytearray(1 << bits - 1)
@@ -78,7 +80,7 @@ def _postings(lines: DataFrame, table: bytes, percent: int) -> DataFrame:
     n = F.size("tokens")
     prefix = n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1
     step = step.select("cid", (n.cast("long") * (1 << 32) + F.col("settled").cast("long")).alias("size"), _bitmap(F.col("tokens")).alias("bm"), F.slice("tokens", 1, prefix).alias("prefix"))
-    return step.select("cid", "size", "bm", F.posexplode("prefix").alias("pos", "token")).select("cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "bm", "token")
+    return step.select("cid", "size", "bm", F.posexplode_outer("prefix").alias("pos", "token")).select("cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "bm", "token")
 
 
 def _side(postings: DataFrame, name: str) -> DataFrame:
@@ -106,7 +108,7 @@ def later_matches(lines: DataFrame, percent: int = 80, sketch_bits: int = 16) ->
     spark = lines.sparkSession
     tokens = lines.select("cid", _token_set(F.col("line")).alias("tokens"))
     keyed = tokens.select("cid", F.struct("cid", F.size("tokens").alias("n"), _bitmap(F.col("tokens")).alias("bm")).alias("x"), F.slice(F.sort_array("tokens"), 1, 3).alias("keys"))
-    keyed = keyed.select("cid", "x", F.explode("keys").alias("key"))
+    keyed = keyed.select("cid", "x", F.explode_outer("keys").alias("key"))
     order = Window.partitionBy("key").orderBy("cid")
     before = keyed.select("x", F.lag("x", 1).over(order).alias("y1"), F.lag("x", 2).over(order).alias("y2"))
     pairs = before.select("x", F.explode(F.array("y1", "y2")).alias("y")).filter("y is not null")
@@ -122,7 +124,8 @@ def later_matches(lines: DataFrame, percent: int = 80, sketch_bits: int = 16) ->
     nx, ny = size("x"), size("y")
     left = F.least(nx - pos("x"), ny - pos("y"))  # positions from 0: the token itself counts
     x, y = _side(postings, "x"), _side(postings, "y")
-    open_ = F.col("x.packed").bitwiseAND(F.lit(1)) == 0
+    # with a part of y, so that it is not pushed below one side: both sides stay one exchange
+    open_ = F.col("x.packed").bitwiseAND(F.lit(1)) <= F.col("y.cid").bitwiseAND(F.lit(0))
     joined = x.join(y, (x["token"] == y["token"]) & open_ & (F.col("y.cid") < F.col("x.cid")) & _possible(nx, ny, F.col("x.bm"), F.col("y.bm"), percent) & (left >= _overlap(nx, ny, percent)))
     found, found_path = materialize(_verified(joined.select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")), lines, percent), "lines-found")
     release(spark)
