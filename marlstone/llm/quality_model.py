@@ -145,7 +145,7 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(f))], names=["y", "fold", "x"])
 
     seen = sample.select(F.col("y").cast("long").alias("y"), "fold", "text").mapInArrow(features, "y long, fold long, x array<double>").toPandas()
-    x, y, fold = np.array(seen["x"].tolist()).reshape(len(seen), -1), seen["y"].to_numpy().astype(float), seen["fold"].to_numpy()
+    x, y, fold = np.array(seen["x"].tolist()).reshape(len(seen), 2 * DIM + 4), seen["y"].to_numpy().astype(float), seen["fold"].to_numpy()
     model = None
     if len(set(y[fold != 1])) == 2:
         model = Network(x[fold != 1], y[fold != 1])
