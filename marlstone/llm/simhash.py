@@ -151,5 +151,5 @@ def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", **option
     component has no doc_id at all; then one of them stays.
     """
     found = near_duplicates(df, text, id_col, **options)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_keep_id")
-    return df.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")), "left_semi").dropDuplicates([id_col])
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return df.join(keep, df[id_col].cast("long").eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates([id_col])
