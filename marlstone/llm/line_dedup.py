@@ -103,7 +103,8 @@ def later_matches(lines: DataFrame, percent: int = 80, sketch_bits: int = 16) ->
     settles most members of a group of near copies without forming its pairs.  Then each line that is still
     open is joined on prefix tokens with all earlier lines, under the positional, length
     and bitmap filters, and candidates are verified on their words.  Both steps are exact, and an
-    open line has no verified match so far, so no group forms all its pairs in the join.
+    open line has no verified match so far.  That cuts the pairs of a large group of near copies but does
+    not bound them: lines the first step leaves open still meet all earlier members.
     """
     spark = lines.sparkSession
     tokens = lines.select("cid", _token_set(F.col("line")).alias("tokens"))
