@@ -3,107 +3,116 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fold_of, steps, texts_of
-from marlstone.llm.tables import Spec, gather, labelled_sample
+from marlstone.llm.common import fold_of, materialize, steps, texts_of
+from marlstone.llm.tables import labelled_sample
 
-#: Hash buckets of word beginnings.
-NODES = 1 << 21
 #: Letters from a word's start that are nodes of their own; the whole word is the last node.
 DEPTH = 8
 #: Taken off every class count: beginnings seen no more often are left to the shared distribution.
 DISCOUNT = 2.0
+#: Different words that a task counts in memory before it sends them on.
+HELD_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _paths(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word's beginnings and of the whole word, one path after the other, and where each path begins.
+def _path(word: str) -> list[tuple[str, str]]:
+    """``(beginning, what follows it)`` along a word: each of its first letters, then its end or all the rest of it."""
+    head = word[:DEPTH]
+    return [(head[:k], head[k]) for k in range(len(head))] + [(head, "$" + word[DEPTH:])]
 
-    Bucket 0 is the root above all paths.
-    """
-    if not words:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    letters = np.array(words, dtype=f"U{DEPTH}").view(np.uint32).reshape(len(words), DEPTH).astype(np.uint64)
-    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
-    nodes = np.empty((len(words), DEPTH + 1), dtype=np.int64)
-    h = np.full(len(words), 0x51ED27, dtype=np.uint64)
-    for k in range(DEPTH):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + letters[:, k]
-        h ^= h >> np.uint64(29)
-        nodes[:, k] = h % np.uint64(NODES - 1) + np.uint64(1)
-    nodes[:, DEPTH] = whole * np.uint64(0x9E3779B97F4A7C15) % np.uint64(NODES - 1) + np.uint64(1)
-    there = np.hstack([letters > 0, np.ones((len(words), 1), dtype=bool)])
-    return nodes[there], np.r_[0, np.cumsum(there.sum(axis=1))[:-1]]
-
-
-def _count_words(texts: list[str], into: np.ndarray, parents: np.ndarray | None = None) -> None:
-    for lo, hi in steps(texts):
-        counts: Counter = Counter()
-        for t in texts[lo:hi]:
-            counts.update(_WORD.findall(t.lower()))
-        nodes, begins = _paths(list(counts))
-        if len(nodes):
-            n = np.repeat(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), np.diff(np.r_[begins, len(nodes)]))
-            into += np.bincount(nodes, weights=n, minlength=NODES).astype(np.int64)
-            into[0] += sum(counts.values())
-            if parents is not None:
-                above = np.r_[0, nodes[:-1]]
-                above[begins] = 0
-                np.maximum.at(parents, nodes, above.astype(parents.dtype))
 
+def _step_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, h, a, n)``: how often ``a`` follows the word beginning ``h`` in the texts of ``rows(text, *by)``, exactly.
 
-def shared_counts(docs: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
-    """How often each word beginning occurs in all texts, and the beginning above it: what both models back off to."""
+    Tasks send on their own sums; these meet by key, so the table grows with the words of the
+    corpus and no task or driver holds it whole.
+    """
+
+    def sums(counts: Counter):
+        found: Counter = Counter()
+        for (word, *key), n in counts.items():
+            for step in _path(word):
+                found[(*key, *step)] += n
+        items = list(found)
+        for i in range(0, len(items), 1 << 16):
+            part = items[i : i + (1 << 16)]
+            cols = [pa.array(c, pa.int32() if k < len(by) else pa.string()) for k, c in enumerate(zip(*part, strict=True))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([found[x] for x in part], pa.int64())], names=[*by, "h", "a", "n"])
+
+    def run(batches):
+        counts: Counter = Counter()
+        for b in batches:
+            texts, keys = texts_of(b.column(0)), list(zip(*(b.column(i + 1).to_pylist() for i in range(len(by))), strict=True)) or [()] * b.num_rows
+            for t, key in zip(texts, keys, strict=True):
+                counts.update(((w, *key) for w in _WORD.findall(t.lower())))
+                if len(counts) > HELD_WORDS:
+                    yield from sums(counts)
+                    counts = Counter()
+        yield from sums(counts)
 
-    def count(tables, batch):
-        _count_words(texts_of(batch.column(0)), tables["all"], tables["parent"])
+    parts = rows.select("text", *by).mapInArrow(run, "".join(f"{c} int, " for c in by) + "h string, a string, n long")
+    return parts.groupBy(*by, "h", "a").agg(F.sum("n").alias("n"))
 
-    return gather(docs.select(F.col(text).cast("string").alias("text")), {"all": Spec((NODES,)), "parent": Spec((NODES,), "int32", "max")}, count)
 
+def shared_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(h, a, n)``: the steps of the words of all texts, which both models back off to."""
+    return materialize(_step_counts(docs.select(F.col(text).cast("string").alias("text")), []), "toxicity-steps")[0]
 
-def class_counts(sample: DataFrame) -> dict[str, np.ndarray]:
-    """The same counts over the ordinary and the toxic texts of ``sample(text, y)``."""
 
-    def count(tables, batch):
-        texts, ys = texts_of(batch.column(0)), batch.column(1).to_pylist()
-        for c in (0, 1):
-            _count_words([t for t, y in zip(texts, ys, strict=True) if y == c], tables[f"class{c}"])
+def known_steps(shared: DataFrame, sample: DataFrame) -> pd.DataFrame:
+    """``(h, a, share, a0, a1, b0, b1)`` for the steps met in ``sample(text, y, fold)``.
 
-    return gather(sample.select("text", "y"), {"class0": Spec((NODES,)), "class1": Spec((NODES,))}, count)
+    ``share`` is P(a | h) over all texts; ``a0`` and ``a1`` count in ordinary and toxic texts, ``b0`` and ``b1`` the
+    same outside fold 1.  No other step tells the classes apart by its shared count: both models
+    then leave it to the shared distribution, which cancels in the ratio.
+    """
+    rows = sample.select("text", F.col("y").cast("int").alias("y"), (F.col("fold") == 1).cast("int").alias("last"))
+    pick = {"a0": "y = 0", "a1": "y = 1", "b0": "y = 0 and last = 0", "b1": "y = 1 and last = 0"}
+    met = _step_counts(rows, ["y", "last"]).groupBy("h", "a").agg(*(F.sum(F.expr(f"if({c}, n, 0)")).alias(k) for k, c in pick.items()))
+    met, _ = materialize(met, "toxicity-met")
+    heads = shared.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("total"))
+    return met.join(shared, ["h", "a"]).join(heads, "h").select("h", "a", (F.col("n") / F.col("total")).alias("share"), *pick).toPandas()
 
 
-def log_ratios(shared: dict[str, np.ndarray], classes: dict[str, np.ndarray]) -> np.ndarray:
-    """log P(node | node above, toxic) - log P(node | node above, ordinary), for every node.
+def log_ratios(known: pd.DataFrame, classes: tuple[str, str]) -> tuple[dict[str, float], dict[str, float]]:
+    """log P(a | h, toxic) - log P(a | h, ordinary) by ``h + a`` for the known steps, and by ``h`` for all others after it.
 
-    Interpolated Kneser-Ney: each class count gives up ``DISCOUNT``, and what a node's followers
-    give up goes to them by their shared counts.  A word's log ratio is the sum over its path.
+    Each class count gives up ``DISCOUNT``, and what a beginning's followers give up goes to them by
+    their shared counts.  A word's log ratio is the sum over its path.
     """
-    parent, everywhere = shared["parent"], shared["all"].astype(np.float64)
-    base = np.clip(everywhere / np.maximum(everywhere[parent], 1), 1e-9, 1)
-    logs = []
-    for c in (0, 1):
-        n = classes[f"class{c}"].astype(np.float64)
-        given_up = np.bincount(parent, weights=np.minimum(n, DISCOUNT), minlength=NODES)
-        kept = np.bincount(parent, weights=np.maximum(n - DISCOUNT, 0), minlength=NODES)
-        mass = np.maximum(given_up + kept, 1e-9)
-        p = np.where(given_up[parent] > 0, (np.maximum(n - DISCOUNT, 0) + given_up[parent] * base) / mass[parent], base)
-        logs.append(np.log(np.maximum(p, 1e-12)))
-    ratio = (logs[1] - logs[0]).astype(np.float32)
-    ratio[0] = 0
-    return ratio
+    logs, backs = [], []
+    for c in classes:
+        n = known[c].astype(float)
+        given_up, mass = (x.groupby(known["h"]).transform("sum") for x in (n.clip(upper=DISCOUNT), n))
+        back = (given_up / mass).where(mass > 0, 1.0)
+        logs.append(np.log(((n - DISCOUNT).clip(lower=0) / mass).where(mass > 0, 0.0) + back * known["share"]))
+        backs.append(np.log(back))
+    steps_ = dict(zip(known["h"] + known["a"], logs[1] - logs[0], strict=True))
+    return steps_, dict(zip(known["h"], backs[1] - backs[0], strict=True))
+
+
+def _word_ratio(word: str, known: dict[str, float], others: dict[str, float]) -> float:
+    total = 0.0
+    for h, a in _path(word):
+        r = known.get(h + a)
+        if r is None:
+            return total + others.get(h, 0.0)  # no class has met a longer beginning
+        total += r
+    return total
 
 
 _FEATURES = ["whole", "first", "top"]
 
 
-def _features(texts: list[str], table: np.ndarray, top: int = 4) -> np.ndarray:
+def _features(texts: list[str], model: tuple[dict[str, float], dict[str, float]], top: int = 4) -> np.ndarray:
     """Per text the log ratio by word: over the whole text, of its most telling word, and over the ``top`` most telling ones."""
     out = np.zeros((len(texts), 3))
     for lo, hi in steps(texts):
@@ -115,8 +124,7 @@ def _features(texts: list[str], table: np.ndarray, top: int = 4) -> np.ndarray:
             ends.append(len(flat))
         if not flat:
             continue
-        nodes, begins = _paths(list(number))
-        ratio = np.add.reduceat(table[nodes], begins)[np.array(flat)]
+        ratio = np.fromiter((_word_ratio(w, *model) for w in number), dtype=np.float64, count=len(number))[np.array(flat)]
         for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
             r = ratio[a:b]
             if len(r):
@@ -147,16 +155,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     the whole and of its most telling words, become a probability by logistic regression.  That is
     fitted on the rows of fold 1 with models of the other rows, at the labels' own class shares.
 
-    Words are letters, lower-cased; their beginnings are hashed into tables of fixed size.  Null and empty texts have log ratio 0 and a score all the same.  Without labels of
+    Words are letters, lower-cased; their beginnings are counted exactly, in a table that grows with the corpus.  Null and empty texts have log ratio 0 and a score all the same.  Without labels of
     both classes every score is 0.  Repeated rows give repeated rows; other columns are not read.
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, text, id_col, most_rows, balanced=True)
-    shared = shared_counts(docs, text)
+    known = known_steps(shared_counts(docs, text), sample)
 
-    def measure(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    def measure(rows: DataFrame, model: tuple[dict[str, float], dict[str, float]]) -> DataFrame:
         """``(key, whole, first, top)`` of ``rows(key, text)``."""
-        held = spark.sparkContext.broadcast(table)
+        held = spark.sparkContext.broadcast(model)
 
         def run(batches):
             for b in batches:
@@ -166,10 +174,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
         return rows.mapInArrow(run, "key long, " + ", ".join(f"{x} double" for x in _FEATURES))
 
     unseen = sample.filter("fold = 1").select(F.col("y").cast("long").alias("key"), "text")
-    seen = measure(unseen, log_ratios(shared, class_counts(sample.filter("fold <> 1")))).toPandas()
+    seen = measure(unseen, log_ratios(known, ("b0", "b1"))).toPandas()
     x, y = seen[_FEATURES].to_numpy(), seen["key"].to_numpy().astype(float)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    scores = measure(rows, log_ratios(shared, class_counts(sample)))
+    scores = measure(rows, log_ratios(known, ("a0", "a1")))
     if len(set(y)) < 2:
         z = F.lit(-30.0)
     else:

@@ -247,6 +247,18 @@ def test_classifiers_on_planted_texts(spark, odd_docs, op):
     assert f(d, lab.limit(0)).count() == 400
 
 
+def test_toxicity_counts_are_exact(spark):
+    from marlstone.llm import toxicity as T
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 12))) for _ in range(2500)) for _ in range(40)]
+    got = {(r.h, r.a): r.n for r in T.shared_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    want = Counter()
+    for w in " ".join(texts).split():
+        want.update([(w[:k], w[k]) for k in range(min(8, len(w)))] + [(w[:8], "$" + w[8:])])
+    assert len(want) > 300_000 and got == want  # so many meet in any table of 2^21 buckets
+
+
 def test_decontamination_in_parts_and_whole(spark, docs, odd_docs):
     from marlstone.llm.decontam import decontaminate
 
