@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections import defaultdict
 
@@ -15,12 +17,19 @@ from marlstone.llm.common import STEP_BYTES, materialize, steps, texts_of
 
 
 def load_encoding(path: str, pattern: str):
-    """The byte-level BPE vocabulary of a rank file; every text is ordinary text, there are no special tokens."""
+    """The byte-level BPE vocabulary of a rank file, with the added tokens of the tokenizer's JSON beside it.
+
+    An added token in a text is one id, as with `tokenizers`; all else is ordinary text.
+    """
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("marlstone", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    with open(f"{os.path.splitext(path)[0]}.json", "rb") as f:
+        added = json.load(f)["added_tokens"]
+    if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added):
+        raise ValueError("only added tokens that match literally are supported")
+    return tiktoken.Encoding("marlstone", pat_str=pattern, mergeable_ranks=ranks, special_tokens={a["content"]: a["id"] for a in added})
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -45,7 +54,7 @@ def tokenized_pieces(df: DataFrame, vocabulary: str, pattern: str, text: str = "
             for lo, hi in steps(texts, STEP_BYTES):
                 cols = defaultdict(list)
                 for doc, t in zip(docs[lo:hi], texts[lo:hi], strict=True):
-                    ids = np.append(encode(t, disallowed_special=()), end_id).astype("<u4")
+                    ids = np.append(encode(t, allowed_special="all"), end_id).astype("<u4")
                     for k, (s, n) in enumerate(cut(len(ids), length)):
                         part = ids[s : s + n]
                         for name, x in zip(out.names, (doc, k, s, n, zlib.crc32(part.tobytes()), part.astype(np.int32)), strict=False):

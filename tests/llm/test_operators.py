@@ -203,6 +203,19 @@ def test_packing(spark, docs, odd_docs):
             assert end <= 1024
 
 
+def test_added_tokens_in_texts(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from marlstone.llm.packing import tokenized_pieces
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [f"abc {e} def", e, f"{e}{e}", f"a  {e}  b\n", f"it's{e}'s", f"<{e}>", "<|endoftext |> <|endoftext|", f"é{e}\n\n{e} ", e.upper()]
+    rows = tokenized_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep_ids=True).collect()
+    assert {r.doc_id: list(r.ids) for r in rows} == {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_sum_of_squares_is_close_to_the_bound():
     from marlstone.llm.packing import sum_of_squares
 
