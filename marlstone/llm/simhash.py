@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from marlstone.llm.common import materialize
 from marlstone.llm.components import connected_components
@@ -28,22 +29,23 @@ def _fingerprint(text: bytes, words: int, seed: int) -> int:
     return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)``: one row per row of ``df``; ``fp`` is the 64-bit SimHash as a signed long.
+def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, *carry)``: one row per row of ``df``; ``fp`` is the 64-bit SimHash as a signed long.
 
     Words are runs of anything but ASCII white space after lowering A-Z; a shingle is ``words``
     of them, repeats included; fewer words make one shingle; no words (null too) give 0.
     A bit is set if it is set in over half of the shingle hashes (XXH64).
+    ``carry`` names columns of longs that are kept.
     """
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    out = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *carry)])
 
     def run(batches):
         for b in batches:
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             fps = np.array([_fingerprint(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], schema=out)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *(b.column(c) for c in carry)], schema=out)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).mapInArrow(run, ", ".join(f"{c} long" for c in out.names))
 
 
 def block_keys(fp: Column, blocks: int, distance: int) -> Column:
@@ -125,6 +127,14 @@ def near_links(reps: DataFrame, distance: int = 3, blocks: int = 5, tile: int =
     return groups.select("m", "cross").mapInArrow(run, "a long, b long").distinct()
 
 
+def _by_fingerprint(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """``(fp, least, c)`` for every fingerprint of ``fps``: the smallest doc_id that has it, and its component."""
+    # fingerprints of rows without an id still carry links: such a node has an id below all others
+    reps, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("rep"), "fp", "least"), "simhash-reps")
+    parts = connected_components(near_links(reps, distance, blocks))
+    return reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("c"))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, distance: int = 3, blocks: int = 5, seed: int = 42) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``: one row per row of ``df``.
 
@@ -135,21 +145,29 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", w
     is the smallest doc_id reached, or null where there is none.  Other columns are not read.
     """
     fps, _ = materialize(fingerprints(df, text, id_col, words, seed), "simhash")
-    # fingerprints of rows without an id still carry links: such a node has an id below all others
-    reps, _ = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.col("fp").alias("rep"), "fp", "least"), "simhash-reps")
-    parts = connected_components(near_links(reps, distance, blocks))
-    by_fp = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("c"))
+    by_fp = _by_fingerprint(fps, distance, blocks)
     least = by_fp.groupBy("c").agg(F.min("least").alias("component_id"))
     labels = by_fp.join(least, "c").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` without near copies: of each component the row with the smallest doc_id stays.
+def _row_hash(df: DataFrame, seed: int) -> Column:
+    """64 bits of hash over all columns of a row; a null differs from every value."""
+    flat = [F.col(f"`{f.name}`") if isinstance(f.dataType, AtomicType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema]
+    return F.xxhash64(F.lit(seed), *(x for c in flat for x in (c, c.isNull())))
+
+
+def keep_one(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, distance: int = 3, blocks: int = 5, seed: int = 42) -> DataFrame:
+    """The rows of ``df`` without near copies: of each component one row stays, whatever the other components hold.
 
-    Rows with one doc_id count as one document.  Rows with a null doc_id stay only where their
-    component has no doc_id at all; then one of them stays.
+    It is one with the smallest doc_id; a row with a null doc_id stays only where its component has no
+    doc_id at all.  Among several such rows a hash of the whole row decides, so a retry chooses the same one;
+    rows that are equal in all columns (by 128 bits of hash) count as one.
     """
-    found = near_duplicates(df, text, id_col, **options)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return df.join(keep, df[id_col].cast("long").eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates([id_col])
+    keys = [_row_hash(df, 1).alias("h1"), _row_hash(df, 2).alias("h2")]
+    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *keys)
+    fps, _ = materialize(fingerprints(narrow, "text", "doc_id", words, seed, ("h1", "h2")), "simhash")
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h1", "h2")
+    keep = fps.join(_by_fingerprint(fps, distance, blocks), "fp").groupBy("c").agg(F.min(order).alias("m")).select("m.h1", "m.h2")
+    rows = df.select(F.struct("*").alias("row"), *keys)
+    return rows.join(keep, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("row.*")

@@ -86,6 +86,18 @@ def test_simhash_components(spark, docs):
     assert {r.doc_id for r in keep_one(docs).collect()} == set(want.values())
 
 
+def test_keep_one_of_each_component(spark):
+    from marlstone.llm.simhash import keep_one
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(50)) for x in "abcd")
+    rows = [(None, a, "x"), (None, a, "y"), (None, b, "x"), (1, c, "x"), (None, c, "y"), (2, d, "x"), (2, None, "x"), (3, d, "y"), (1, c, "x"), (1, c, "z")]
+    for some in (rows, rows[::-1]):
+        got = sorted(((r.doc_id or 0, r.text or "") for r in keep_one(spark.createDataFrame(some, "doc_id long, text string, source string").repartition(3)).collect()))
+        assert got == sorted([(0, a), (0, b), (1, c), (2, d), (2, "")])
+    once = [sorted(map(str, keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).collect())) for n in (1, 4)]
+    assert once[0] == once[1]
+
+
 @pytest.mark.parametrize("tile", [4, 64])
 def test_near_links_of_a_dense_bucket(spark, tile):
     from marlstone.llm.components import connected_components
