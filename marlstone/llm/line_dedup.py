@@ -142,7 +142,8 @@ def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", perce
     Lines are parts between \\n; a line's tokens are its distinct words.  A line of at least
     ``min_words`` words goes if an earlier line, by (doc_id, line number), is equal to it or has a Jaccard
     similarity of ``percent`` / 100 or more with it; whether that earlier line stays does not
-    matter.  ``removed`` are the numbers of the lines that went, from 0; shorter lines always stay.
+    matter.  ``removed`` are the numbers of the lines that went, from 0; shorter lines always stay, and with
+    ``min_words=1``, as in the query and the pipeline, only lines without words.
 
     Equal lines are one class: its first line counts, whatever the number of copies, and equality is
     that of 128 bits of hash.  A null text stays null, with no lines; an empty text has one line, which stays.

@@ -56,7 +56,7 @@ FROM p LEFT JOIN heads USING (h, n)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.line_dedup import dedup_lines
 
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     removed = F.size("removed").cast("long")
     return found.select("row.doc_id", "n_lines", removed.alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"))
 

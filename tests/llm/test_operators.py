@@ -157,6 +157,29 @@ def test_line_dedup_of_a_group_of_near_copies(spark):
     assert got == removed_lines(texts)
 
 
+def test_line_dedup_query_takes_short_lines(spark, docs, tmp_path):
+    from corpus_pipeline import line_dedup
+    from marlstone.llm.queries import op6_line_dedup
+
+    odd = spark.createDataFrame([(-4, "Menu\nb a\n\n \none two three four"), (-3, "Menu\na b\n\n \none two three four five"), (-2, "menu\na\nMenu"), (-1, "Menu")], "doc_id long, text string")
+    some = docs.filter("doc_id < 40").select("doc_id", "text").unionByName(odd)
+    some.write.parquet(f"{tmp_path}/documents.parquet")
+    earlier, want = [], {}
+    for i, t in sorted((r.doc_id, r.text or "") for r in some.collect()):
+        want[i] = []
+        for k, line in enumerate(t.split("\n")):
+            s = set(words(line))
+            if s:
+                if any(9 * len(s & e) >= 4 * (len(s) + len(e)) for e in earlier):
+                    want[i].append(k)
+                earlier.append(s)
+    assert want[-3] == [0, 1, 4] and want[-2] == [2] and want[-1] == [0]
+    got = {r.doc_id: [int(x) for x in r.removed_lines.split(",") if x] for r in op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == want
+    whole = some.withColumn("n_chars", F.length("text").cast("long"))
+    assert {r.doc_id: r.text for r in line_dedup(spark, whole, "").filter("doc_id < 0").collect()} == {-4: "Menu\nb a\n\n \none two three four", -3: "\n ", -2: "menu\na", -1: ""}
+
+
 def test_shards(spark, docs, odd_docs):
     from marlstone.llm.sharding import communication_matrix, shard
 
