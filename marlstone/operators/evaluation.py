@@ -45,14 +45,23 @@ def popularity(train: DataFrame) -> DataFrame:
 def popular_unseen(users: DataFrame, train: DataFrame, k: int, depth: int = 512) -> DataFrame:
     """``(user, item, rank)``: the first ``k`` popular items that the user has not had.
 
-    Only the ``depth`` most popular items can be recommended: that list has a fixed size and is broadcast.
+    The ``depth`` most popular items have a fixed size and are broadcast.  A user who has had m items finds ``k`` others
+    among the first k + m: where that is more than ``depth``, the list goes on for this user as far.
     """
-    top = popularity(train).filter(F.col("rank") <= depth).select("item", F.col("rank").alias("pop"))
-    open_ = users.select("user").distinct().join(F.broadcast(top)).join(train.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    ranking, seen = popularity(train).select("item", F.col("rank").alias("pop")), train.select("user", "item").distinct()
+    asked = users.select("user").distinct()
+    first = asked.join(F.broadcast(ranking.filter(F.col("pop") <= depth)))
+    open_ = first.unionByName(further(asked, seen, ranking, "user", k, depth)).join(seen, ["user", "item"], "left_anti")
     w = Window.partitionBy("user").orderBy("pop")
     return open_.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("user", "item", "rank")
 
 
+def further(asked: DataFrame, had: DataFrame, ranking: DataFrame, by: str, k: int, depth: int) -> DataFrame:
+    """Rows of ``ranking`` from ``depth`` + 1 to ``k`` plus the number of rows in ``had``, for each ``by`` of ``asked``."""
+    many = had.join(asked, by, "left_semi").groupBy(by).agg(F.count("*").alias("m")).filter(F.col("m") + k > depth)
+    return many.select(by, F.explode(F.sequence(F.lit(depth + 1), (F.col("m") + k).cast("int"))).alias("pop")).join(ranking.filter(F.col("pop") > depth), "pop").select(by, *ranking.columns)
+
+
 def ranking_metrics(lists: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """``(user, n_gold, hits, recall, ndcg)`` for each user of ``gold(user, item)``; gains are binary."""
     g = gold.select("user", "item").distinct()

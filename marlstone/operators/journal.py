@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.evaluation import further
+
 DAY_MS = 86_400_000
 
 
@@ -54,12 +56,13 @@ def item_states(journal: DataFrame) -> DataFrame:
     return journal.groupBy("user_id", "item_id").agg(*(F.bool_or(F.col("kind") == k).alias(n) for k, n in (("save", "saved"), ("watched", "watched"), ("dismiss", "dismissed"))))
 
 
-def selected(candidates: DataFrame, blocked: DataFrame, features: DataFrame, popular: DataFrame, k: int, tiers: tuple[int, ...] = (64, 128, 256, 512)) -> DataFrame:
+def selected(candidates: DataFrame, blocked: DataFrame, features: DataFrame, popular: DataFrame, k: int, tiers: tuple[int, ...] = (64, 128, 256, 512), depth: int = 512) -> DataFrame:
     """``(query_id, item_id, rank, score, candidate_source, tier)``: eligible candidates by pilot score, filled up by popularity.
 
     ``candidates(query_id, item_id, score, rank)`` are retrieved lists; the tier is the smallest prefix with ``k`` items that
     are not ``blocked(query_id, item_id)``, else the largest.  Inside it items go by score + 0.05 * saved / (shown + 2).
-    ``popular(item_id, pop)`` is a list of fixed size and is broadcast; fills score below every candidate.
+    ``popular(item_id, pop)`` is the whole ranking: its first ``depth`` items are broadcast, and the list goes on for
+    queries that have more blocked items than leave ``k`` of these.  Fills score below every candidate.
     """
     eligible = candidates.join(blocked, ["query_id", "item_id"], "left_anti")
     at = Window.partitionBy("query_id")
@@ -72,9 +75,11 @@ def selected(candidates: DataFrame, blocked: DataFrame, features: DataFrame, pop
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "item_id", "rank", "score", F.lit("retrieval").alias("candidate_source"), "tier")
     queries = candidates.select("query_id").distinct()
-    fills = queries.join(F.broadcast(popular)).join(blocked, ["query_id", "item_id"], "left_anti").join(top.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    start = popular.filter(F.col("pop") <= depth)
+    more = further(queries, blocked.select("query_id", "item_id").distinct(), popular, "query_id", 2 * k, depth)  # up to k are in top
+    fills = queries.join(F.broadcast(start)).unionByName(more.select("query_id", *popular.columns)).join(blocked, ["query_id", "item_id"], "left_anti").join(top.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
     have = top.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("low"), F.max("tier").alias("tier"))
-    n = popular.count()
+    n = start.count()
     order = Window.partitionBy("query_id").orderBy("pop")
     filled = fills.join(have, "query_id", "left").withColumn("i", F.row_number().over(order)).withColumn("rank", F.col("i") + F.coalesce("have", F.lit(0))).filter(F.col("rank") <= k)
     filled = filled.select("query_id", "item_id", F.col("rank").cast("int"), F.round(F.coalesce("low", F.lit(0.0)) - 1 - (F.col("i") - 1) / F.lit(float(max(n, 1))), 6).alias("score"), F.lit("popular").alias("candidate_source"), F.coalesce("tier", F.lit(tiers[-1])).alias("tier"))

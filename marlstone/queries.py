@@ -291,7 +291,7 @@ top AS (SELECT * FROM (SELECT query_id, item_id, CAST(row_number() OVER (PARTITI
 def _pilot(spark, sf_dir, k=10):
     cand = vectors.top_k(_query_set(spark, sf_dir), _catalog(spark, sf_dir), 512)
     j = journal.accepted(views.journal(spark, sf_dir))
-    popular = views.journal(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "item_id").limit(512)
+    popular = views.journal(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n"))
     popular = popular.select("item_id", F.row_number().over(Window.orderBy(F.desc("n"), "item_id")).alias("pop"))
     return journal.selected(cand, _blocked(spark, sf_dir), journal.projection(j), popular, k)
 

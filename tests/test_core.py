@@ -121,3 +121,24 @@ def test_accounts(spark, tmp_path):
     assert accounts.faults(spark, path).count() == 0
     next((tmp_path / "bundle" / "movies").glob("*.parquet")).unlink()
     assert accounts.faults(spark, path).first().fault == "missing"
+
+
+def test_popular_lists_go_on_past_their_first_part(spark):
+    from marlstone.operators.evaluation import popular_unseen
+    from marlstone.operators.journal import selected
+
+    # item i is had by users 1000 .. 1000 + 30 - i; user 1 has had the first 25, user 2 all of them, user 3 none
+    train = [(1000 + u, i) for i in range(30) for u in range(30 - i)] + [(1, i) for i in range(25)] + [(2, i) for i in range(30)] + [(1, 0)]
+    t = spark.createDataFrame(train, "user long, item long")
+    got = {}
+    for r in popular_unseen(spark.createDataFrame([(1,), (2,), (3,), (1,)], "user long"), t, 4, depth=8).orderBy("user", "rank").collect():
+        got.setdefault(r.user, []).append((r["rank"], r["item"]))
+    assert got == {1: [(1, 25), (2, 26), (3, 27), (4, 28)], 3: [(1, 0), (2, 1), (3, 2), (4, 3)]}
+    cand = spark.createDataFrame([(1, 26, 0.5, 1), (2, 3, 0.5, 1), (3, 7, 0.5, 1)], "query_id long, item_id long, score double, rank int")
+    blocked = t.withColumnsRenamed({"user": "query_id", "item": "item_id"})
+    features = spark.createDataFrame([], "item_id long, shown long, saved long")
+    popular = spark.createDataFrame([(i, i + 1) for i in range(30)], "item_id long, pop int")
+    got = {}
+    for r in selected(cand, blocked, features, popular, 4, depth=8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    assert got == {1: [26, 25, 27, 28], 3: [7, 0, 1, 2]}
