@@ -18,6 +18,10 @@ from marlstone.llm.tables import labelled_sample
 DEPTH = 8
 #: Taken off every class count: beginnings seen no more often are left to the shared distribution.
 DISCOUNT = 2.0
+#: Taken off every continuation count of a class, and of all texts.
+LOWER_DISCOUNT, SHARED_DISCOUNT = 1.0, 0.75
+#: Letters of the contexts tried after a word's whole beginning.
+SHORTER = (4, 3)
 #: Different words that a task counts in memory before it sends them on.
 HELD_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,52 +71,132 @@ def shared_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return materialize(_step_counts(docs.select(F.col(text).cast("string").alias("text")), []), "toxicity-steps")[0]
 
 
-def known_steps(shared: DataFrame, sample: DataFrame) -> pd.DataFrame:
-    """``(h, a, share, a0, a1, b0, b1)`` for the steps met in ``sample(text, y, fold)``.
+def _contexts(h: str) -> list[str]:
+    """The contexts of a letter after the word beginning ``h``: that beginning, then its last letters alone, four and three."""
+    return [f"^{h}", *(h[-n:] for n in SHORTER if len(h) >= n)]
 
-    ``share`` is P(a | h) over all texts; ``a0`` and ``a1`` count in ordinary and toxic texts, ``b0`` and ``b1`` the
-    same outside fold 1.  No other step tells the classes apart by its shared count: both models
-    then leave it to the shared distribution, which cancels in the ratio.
+
+def continuations(shared: DataFrame) -> DataFrame:
+    """``(g, a, n)``: after how many different contexts of one letter more ``a`` follows ``g``, in all texts, for ``g`` of 0 to 3 letters.
+
+    A word's beginning is a context of its own: ``^`` stands before the first letter.
+    """
+    level = shared.select(F.when(F.length("h") < 4, F.concat(F.lit("^"), "h")).otherwise(F.expr("right(h, 4)")).alias("c"), "a").distinct()
+    found = None
+    for n in range(3, -1, -1):
+        whole = F.length("c") == n + 1  # a context of one letter more, or a word's beginning of n letters
+        counts = level.filter(whole).groupBy(F.expr(f"right(c, {n})").alias("g"), "a").agg(F.count("*").alias("n"))
+        found = counts if found is None else found.unionByName(counts)
+        level = level.filter(~whole).unionByName(counts.select(F.col("g").alias("c"), "a"))
+    return found
+
+
+_CLASSES = {"a0": "y = 0", "a1": "y = 1", "b0": "y = 0 and last = 0", "b1": "y = 1 and last = 0"}
+
+
+def class_tables(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(context, a, *counts)`` and ``(context, *t_counts, *g_counts)``: what the labelled texts of ``sample(text, y, fold)`` tell.
+
+    ``a0`` and ``a1`` count in ordinary and toxic texts, ``b0`` and ``b1`` the same outside fold 1: words' steps by their
+    beginning, and for the shorter contexts the different longer ones.  ``t_`` sums a context's counts, ``g_`` what they give
+    up.  A step that no class has met more often than it gives up is as good as not met, and a context with no
+    other step leaves all to the shorter one: neither is in the tables, and the models do not need them.
     """
+    names = list(_CLASSES)
     rows = sample.select("text", F.col("y").cast("int").alias("y"), (F.col("fold") == 1).cast("int").alias("last"))
-    pick = {"a0": "y = 0", "a1": "y = 1", "b0": "y = 0 and last = 0", "b1": "y = 1 and last = 0"}
-    met = _step_counts(rows, ["y", "last"]).groupBy("h", "a").agg(*(F.sum(F.expr(f"if({c}, n, 0)")).alias(k) for k, c in pick.items()))
+    met = _step_counts(rows, ["y", "last"]).groupBy("h", "a").agg(*(F.sum(F.expr(f"if({c}, n, 0)")).alias(k) for k, c in _CLASSES.items()))
     met, _ = materialize(met, "toxicity-met")
-    heads = shared.join(met.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("total"))
-    return met.join(shared, ["h", "a"]).join(heads, "h").select("h", "a", (F.col("n") / F.col("total")).alias("share"), *pick).toPandas()
+    once = [F.sum((F.col(k) > 0).cast("long")).alias(k) for k in names]
+    levels = [met.select(F.concat(F.lit("^"), "h").alias("context"), "a", *names, F.lit(DISCOUNT).alias("d"))]
+    longer = None
+    for size in SHORTER:
+        starts = met.filter(F.length("h") == size if longer else F.length("h") >= size).select(F.col("h").alias("context"), "a", *names)
+        longer = (longer.unionByName(starts) if longer else starts).groupBy(F.expr(f"right(context, {size})").alias("context"), "a").agg(*once)
+        levels.append(longer.withColumn("d", F.lit(LOWER_DISCOUNT)))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    every, _ = materialize(every, "toxicity-classes")
+    tells = F.greatest(*names) > F.col("d")
+    sums = [F.sum(k).alias(f"t_{k}") for k in names] + [F.sum(F.least(F.col(k), F.col("d"))).alias(f"g_{k}") for k in names]
+    contexts = every.groupBy("context").agg(*sums, F.bool_or(tells).alias("tells")).filter("tells").drop("tells")
+    return every.filter(tells).drop("d"), contexts
+
+
+def known_steps(shared: DataFrame, sample: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, dict[str, float]]:
+    """The class tables, and P(a | g) of all texts by ``g + a`` for their steps; ``g`` are the last three letters before ``a``.
+
+    P is interpolated Kneser-Ney over the continuation counts of all texts.  Other steps need none: both models
+    leave them to P, which cancels in the ratio.
+    """
+    steps_, contexts = class_tables(sample)
+    steps_, _ = materialize(steps_, "toxicity-steps-kept")
+    counts, _ = materialize(continuations(shared), "toxicity-continuations")
+    asked = steps_.select(F.explode(F.array(*(F.struct(F.expr(f"right(replace(context, '^', ''), {n})").alias("g"), "a") for n in range(4)))).alias("x")).select("x.*").distinct()
+    sums = counts.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    told = counts.join(asked, ["g", "a"]).join(sums, "g").toPandas()
+    p: dict[str, float] = {}
+    for g, a, n, total, kinds in sorted(told.itertuples(index=False, name=None), key=lambda r: len(r[0])):
+        lower = p[g[1:] + a] if g else 1 / (kinds + 1)
+        p[g + a] = (n - SHARED_DISCOUNT + SHARED_DISCOUNT * kinds * lower) / total
+    return steps_.toPandas(), contexts.toPandas(), p
+
 
+def _class_model(steps_: pd.DataFrame, contexts: pd.DataFrame, c: str, shared: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """P(a | context) by ``context + a`` for the steps of the tables, and what each context leaves to the next shorter one."""
+    total = dict(zip(contexts["context"], contexts[f"t_{c}"].tolist(), strict=True))
+    left = {x: g / total[x] if total[x] else 1.0 for x, g in zip(contexts["context"], contexts[f"g_{c}"].tolist(), strict=True)}
+    p: dict[str, float] = {}
+    for context, a, n in sorted(zip(steps_["context"], steps_["a"], steps_[c].tolist(), strict=True), key=lambda r: (r[0][:1] == "^", len(r[0]))):
+        kept = max(n - (DISCOUNT if context[0] == "^" else LOWER_DISCOUNT), 0)
+        p[context + a] = (kept / total[context] if kept else 0.0) + left[context] * _lower(context, a, p, left, shared)
+    return p, left
 
-def log_ratios(known: pd.DataFrame, classes: tuple[str, str]) -> tuple[dict[str, float], dict[str, float]]:
-    """log P(a | h, toxic) - log P(a | h, ordinary) by ``h + a`` for the known steps, and by ``h`` for all others after it.
 
-    Each class count gives up ``DISCOUNT``, and what a beginning's followers give up goes to them by
-    their shared counts.  A word's log ratio is the sum over its path.
+def _shorter(context: str) -> str | None:
+    """The context after ``context``; None where all texts are next."""
+    rest = _contexts(context[1:])[1:] if context[0] == "^" else [context[1:]] * (len(context) > SHORTER[-1])
+    return rest[0] if rest else None
+
+
+def _lower(context: str, a: str, p: dict[str, float], left: dict[str, float], shared: dict[str, float]) -> float:
+    """P(a | what comes after ``context``)."""
+    rest = _shorter(context)
+    return shared[context.lstrip("^")[-3:] + a] if rest is None else _probability(rest, a, p, left, shared)
+
+
+def _probability(context: str, a: str, p: dict[str, float], left: dict[str, float], shared: dict[str, float]) -> float:
+    found = p.get(context + a)
+    return left.get(context, 1.0) * _lower(context, a, p, left, shared) if found is None else found
+
+
+def log_ratios(known: tuple[pd.DataFrame, pd.DataFrame, dict[str, float]], classes: tuple[str, str]) -> tuple[dict[str, float], dict[str, float]]:
+    """log P(a | context, toxic) - log P(a | context, ordinary) by ``context + a`` where a class has met it, and by context what is added on the way to a shorter one.
+
+    Interpolated Kneser-Ney: each count gives up ``DISCOUNT`` (a continuation count ``LOWER_DISCOUNT``), and what a
+    context's followers give up goes to them by the next shorter context; the last one goes to all texts.
     """
-    logs, backs = [], []
-    for c in classes:
-        n = known[c].astype(float)
-        given_up, mass = (x.groupby(known["h"]).transform("sum") for x in (n.clip(upper=DISCOUNT), n))
-        back = (given_up / mass).where(mass > 0, 1.0)
-        logs.append(np.log(((n - DISCOUNT).clip(lower=0) / mass).where(mass > 0, 0.0) + back * known["share"]))
-        backs.append(np.log(back))
-    steps_ = dict(zip(known["h"] + known["a"], logs[1] - logs[0], strict=True))
-    return steps_, dict(zip(known["h"], backs[1] - backs[0], strict=True))
-
-
-def _word_ratio(word: str, known: dict[str, float], others: dict[str, float]) -> float:
+    steps_, contexts, shared = known
+    (p0, left0), (p1, left1) = (_class_model(steps_, contexts, c, shared) for c in classes)
+    return {k: float(np.log(p1[k] / p0[k])) for k in p0}, {k: float(np.log(left1[k] / left0[k])) for k in left0}
+
+
+def _word_ratio(word: str, known: dict[str, float], passing: dict[str, float]) -> float:
     total = 0.0
     for h, a in _path(word):
-        r = known.get(h + a)
-        if r is None:
-            return total + others.get(h, 0.0)  # no class has met a longer beginning
-        total += r
+        for context in _contexts(h):
+            r = known.get(context + a)
+            if r is not None:
+                total += r
+                break
+            total += passing.get(context, 0.0)
     return total
 
 
 _FEATURES = ["whole", "first", "top"]
 
 
-def _features(texts: list[str], model: tuple[dict[str, float], dict[str, float]], top: int = 4) -> np.ndarray:
+def _features(texts: list[str], model: tuple[dict[str, float], dict[str, float]], memo: dict[str, float], top: int = 4) -> np.ndarray:
     """Per text the log ratio by word: over the whole text, of its most telling word, and over the ``top`` most telling ones."""
     out = np.zeros((len(texts), 3))
     for lo, hi in steps(texts):
@@ -124,7 +208,10 @@ def _features(texts: list[str], model: tuple[dict[str, float], dict[str, float]]
             ends.append(len(flat))
         if not flat:
             continue
-        ratio = np.fromiter((_word_ratio(w, *model) for w in number), dtype=np.float64, count=len(number))[np.array(flat)]
+        if len(memo) > HELD_WORDS:
+            memo.clear()
+        memo.update((w, _word_ratio(w, *model)) for w in number if w not in memo)
+        ratio = np.fromiter((memo[w] for w in number), dtype=np.float64, count=len(number))[np.array(flat)]
         for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
             r = ratio[a:b]
             if len(r):
@@ -150,8 +237,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
 
     Two Kneser-Ney models of words by their letters, of toxic and of ordinary texts, are fitted on
     at most ``most_rows`` labelled rows outside fold 0, up to half of them toxic.  A letter's context is
-    the word so far, so rare forms of an expression share what their beginning tells; both models
-    back off to one distribution, the counts of *all* texts.  A text's log-likelihood ratios by word, of
+    the word so far, then its last four and three letters, by continuation counts, so rare
+    forms of an expression share what their beginning or their middle tells; below these both models back
+    off to one distribution, the continuation counts of *all* texts.  A text's log-likelihood ratios by word, of
     the whole and of its most telling words, become a probability by logistic regression.  That is
     fitted on the rows of fold 1 with models of the other rows, at the labels' own class shares.
 
@@ -167,8 +255,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
         held = spark.sparkContext.broadcast(model)
 
         def run(batches):
+            memo: dict[str, float] = {}
             for b in batches:
-                f = _features(texts_of(b.column(1)), held.value)
+                f = _features(texts_of(b.column(1)), held.value, memo)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(3))], names=["key", *_FEATURES])
 
         return rows.mapInArrow(run, "key long, " + ", ".join(f"{x} double" for x in _FEATURES))

@@ -307,6 +307,50 @@ def test_toxicity_counts_are_exact(spark):
     assert len(want) > 300_000 and got == want  # so many meet in any table of 2^21 buckets
 
 
+def test_toxicity_backs_off_by_continuation_counts(spark):
+    from marlstone.llm import toxicity as T
+
+    rng = np.random.default_rng(8)
+    part = lambda: "".join(rng.choice(list("abcde"), rng.integers(1, 7)))
+    rows = [(i, " ".join(part() + ("nasty" if i % 2 and k % 3 == 0 else "") + part() for k in range(20)), i % 2, 1 + i % 4) for i in range(60)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int, fold long")
+    docs = spark.createDataFrame([(t,) for _, t, _, _ in rows] + [("abcdefg nastier other words",)], "text string")
+    model = T.log_ratios(T.known_steps(T.shared_counts(docs), sample), ("a0", "a1"))
+
+    def counts(texts):
+        """n by (context, a), for beginnings and the letters before, each from the different longer contexts."""
+        raw = Counter(("^" + w[:k], a) for t in texts for w in t.split() for k, a in [(k, w[k]) for k in range(min(8, len(w)))] + [(min(8, len(w)), "$" + w[8:])])
+        by = {9: raw}
+        for n in (4, 3, 2, 1, 0):
+            longer = {x for x in raw if len(x[0]) > n + 1} if n == 4 else set(by[n + 1]) | {x for x in raw if len(x[0]) == n + 1}
+            by[n] = Counter((c.lstrip("^")[len(c.lstrip("^")) - n :], a) for c, a in (longer | {x for x in raw if n == 4 and len(x[0]) == 5}))
+        return by
+
+    every = counts([r.text for r in docs.collect()])
+    own = [counts([t for _, t, y, _ in rows if y == c]) for c in (0, 1)]
+
+    def mixed(table, c, a, discount, lower):
+        followers = {k: n for k, n in table.items() if k[0] == c}
+        if not followers:
+            return lower
+        n = table.get((c, a), 0)
+        return (max(n - discount, 0) + sum(min(x, discount) for x in followers.values()) * lower) / sum(followers.values())
+
+    def p(y, h, a):
+        x = 1 / (len({k for k in every[0]}) + 1)
+        for n in range(min(3, len(h)) + 1):
+            x = mixed(every[n], h[len(h) - n :], a, 0.75, x)
+        for n in (3, 4):
+            if len(h) >= n:
+                x = mixed(own[y][n], h[-n:], a, 1.0, x)
+        return mixed(own[y][9], "^" + h, a, 2.0, x)
+
+    for w in ("nastyabc", "zznastyq", "abcnastyzzzzzz", "abcd", "zzz", "eeenastier"):
+        want = sum(np.log(p(1, h, a) / p(0, h, a)) for h, a in T._path(w))
+        assert abs(T._word_ratio(w, *model) - want) < 1e-6, w
+    assert T._word_ratio("zznastyq", *model) > 1  # no labelled word begins so: by beginnings alone nothing would tell
+
+
 def test_decontamination_in_parts_and_whole(spark, docs, odd_docs):
     from marlstone.llm.decontam import decontaminate
 
