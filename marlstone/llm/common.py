@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"[ \t\n\x0B\f\r]+"
 #: Bytes of text that one vectorised step works on at most (a single longer text is a step of its own).
 STEP_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,14 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    if was is not None:  # shuffle files of this step go as it ends: its result is in the folder
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if was is not None:
+            spark.conf.set(_CLEANUP, was)
     fs, p = _fs_path(spark, path)
     fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
@@ -54,9 +62,15 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps, which nothing refers to any more."""
-    spark._jvm.System.gc()
+def sized(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """The table ``df``, as ``materialize`` wrote it, marked for broadcast if its files hold at most ``most_bytes``; else joins on it go by key."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        fs, p = _fs_path(spark, files[0])
+        if fs.getContentSummary(p.getParent()).getLength() > most_bytes:
+            return df
+    return F.broadcast(df)
 
 
 def as_row(df: DataFrame) -> DataFrame:

@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_row, discard, materialize, release, words_of
+from marlstone.llm.common import SPACE_RUN, as_row, discard, materialize, sized, words_of
 
 # Generators here are the outer ones: for the others the optimizer infers a filter on the array and pushes it
 # down, where the array is computed once more for every mention.  No line has an empty array.
 _SPACE, _WORD = r"[ \t\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
+#: Bits of a token that are hash; its rarity is above them.
+HASH_BITS = 57
+_ORDER = ("doc", "no", "th")
 
 
 def _lines(df: DataFrame, text: str, id_col: str) -> DataFrame:
-    """``(doc_id, th, line_no, line)``; ``th`` tells apart different texts under one doc_id."""
+    """``(doc, th, no, line)``; ``th`` tells apart different texts under one doc_id; a null doc_id is the smallest."""
     t = F.col(text).cast("string")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), F.posexplode_outer(F.split(t, "\n")).alias("line_no", "line"))
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), F.posexplode_outer(F.split(t, "\n")).alias("no", "line"))
 
 
 def _long_enough(line: Column, min_words: int) -> Column:
     return line.rlike(f"^{_SPACE}*(?:{_WORD}+{_SPACE}+){{{max(0, min_words - 1)}}}{_WORD}")
 
 
-def _token_set(line: Column) -> Column:
-    return F.array_distinct(F.transform(words_of(line), lambda w: F.xxhash64(w)))
-
-
-def _bitmap(tokens: Column) -> Column:
-    """Parity of the tokens per bit: the bits in which two bitmaps differ are at most the tokens in which two sets differ."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+def _words(line: Column) -> Column:
+    """The words of a line that has one."""
+    return F.split(F.btrim(line, F.lit(" \t\x0b\f\r")), SPACE_RUN)
 
 
 def _overlap(nx: Column, ny: Column, percent: int) -> Column:
@@ -41,134 +40,133 @@ def _possible(nx: Column, ny: Column, bx: Column, by: Column, percent: int) -> C
     return (F.bit_count(bx.bitwiseXOR(by)) <= nx + ny - 2 * _overlap(nx, ny, percent)) & (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
 
 
-def rarity_sketch(lines: DataFrame, bits: int) -> bytes:
-    """A level from 0 (rare) to 7 for each of 2 ** ``bits`` hash buckets of words, two to a byte.
+def rarity_levels(df: DataFrame, text: str, bits: int) -> list[int]:
+    """A level, twice the binary logarithm of the count, for each of 2 ** ``bits`` hash buckets of words.
 
-    All words of all lines are counted, combined on the map side; the result has a fixed size.
+    All words of all texts are counted, combined on the map side; the result has a fixed size.
     Any order of tokens gives the same matches: a word that shares a bucket only costs time.
     """
-    counts = lines.select(F.explode_outer(words_of(F.col("line"))).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("b")).groupBy("b").count()
-    logs = dict(counts.select("b", F.floor(F.log2("count")).cast("int")).collect())
-    least = sorted(logs.values())[len(logs) // 10] if logs else 0
-    table = bytearray(1 << bits - 1)
-    for b, x in logs.items():
-        table[b >> 1] |= min(7, max(0, x - least)) << 3 * (b & 1)
-    return bytes(table)
-
+    words = df.select(F.explode_outer(F.split(F.col(text).cast("string"), SPACE_RUN)).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("b")).count()
+    levels = [0] * (1 << bits)
+    for b, x in counts.select("b", F.least(F.floor(2 * F.log2("count")), F.lit(62)).cast("int")).collect():
+        levels[b] = x
+    return levels
 
-def _by_rarity(line: Column, table: bytes) -> Column:
-    """The line's distinct tokens, rarest first: the bucket's level, then longer words, then a hash of 56 bits."""
-    held = F.lit(table)
 
-    def key(w):
-        h = F.xxhash64(w)
-        b = h.bitwiseAND(F.lit(2 * len(table) - 1)).cast("int")
-        pair = F.ascii(F.substring(held, F.call_function("shiftright", b, F.lit(1)) + 1, F.lit(1)).cast("string"))
-        level = F.call_function("shiftright", pair, 3 * b.bitwiseAND(F.lit(1))).bitwiseAND(F.lit(7))
-        rank = 16 * level + 15 - F.least(F.length(w), F.lit(15))
-        return F.call_function("shiftleft", rank.cast("long"), F.lit(56)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(8)))
-
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), key)))
+def _measured(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
+    """``(h1, h2, doc, no, th, n, bm, prefix)`` of each line: its distinct tokens, rarest first, as far as the prefix goes.
 
+    ``bm`` is the parity of the tokens per bit: the bits in which two bitmaps differ are at most the tokens in which two sets differ.
+    """
+    held = F.from_json(F.lit(str(levels)), "array<int>")  # a constant; looked up by position
 
-def _postings(lines: DataFrame, table: bytes, percent: int) -> DataFrame:
-    """One row per line and prefix token: a similar line shares a token of its own prefix with it.
+    def token(h):
+        level = F.get(held, h.bitwiseAND(F.lit(len(levels) - 1)).cast("int")).cast("long")
+        return F.call_function("shiftleft", level, F.lit(HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - HASH_BITS)))
 
-    Rows are kept narrow: size, position and whether the line is settled share one long.
-    """
-    step = lines.select("cid", "settled", _by_rarity(F.col("line"), table).alias("tokens"))
+    step = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"), *_ORDER, F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    step = step.select("h1", "h2", *_ORDER, F.sort_array(F.transform("h", token)).alias("tokens"))
     n = F.size("tokens")
-    prefix = n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1
-    step = step.select("cid", (n.cast("long") * (1 << 32) + F.col("settled").cast("long")).alias("size"), _bitmap(F.col("tokens")).alias("bm"), F.slice("tokens", 1, prefix).alias("prefix"))
-    return step.select("cid", "size", "bm", F.posexplode_outer("prefix").alias("pos", "token")).select("cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "bm", "token")
+    bit = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+    return step.select("h1", "h2", *_ORDER, n.alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), bit).alias("bm"), F.slice("tokens", 1, n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1).alias("prefix"))
+
 
+def _classes(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
+    """One row per different line (128 bits of hash): its first place, what is measured of it, a ``cid`` in no order, and its copies."""
+    found = _measured(lines, levels, percent).groupBy("h1", "h2").agg(F.min(F.struct(*_ORDER, "n", "bm", "prefix")).alias("m"), F.count("*").alias("copies"))
+    return found.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "m.*", "copies")
 
-def _side(postings: DataFrame, name: str) -> DataFrame:
-    return postings.select("token", F.struct("cid", "packed", "bm").alias(name))
 
+def _through_pivots(classes: DataFrame, percent: int, keys: int) -> DataFrame:
+    """``(a, b)``: each line with the first line that shares one of its ``keys`` chosen prefix tokens, where both can be similar.
 
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The ``x`` of those pairs ``(x, y)`` whose whole lines are similar enough."""
-    text = lines.select("cid", "line")
-    both = pairs.distinct().join(text.select(F.col("cid").alias("x"), F.col("line").alias("lx")), "x").join(text.select(F.col("cid").alias("y"), F.col("line").alias("ly")), "y")
-    words = both.select("x", *(F.array_distinct(words_of(F.col(c))).alias(w) for c, w in (("lx", "wx"), ("ly", "wy"))))
-    common = F.size(F.array_intersect("wx", "wy"))
-    return words.filter((100 + percent) * common >= percent * (F.size("wx") + F.size("wy"))).select("x").distinct()
+    That is one row per line and token, whatever the size of a group of near copies, and settles almost all of its members.
+    The choice goes by hash, not by rarity: words that only one copy has are the rarest.
+    """
+    chosen = F.slice(F.sort_array(F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))), 1, keys)
+    rows = classes.select("cid", "doc", "n", "bm", F.explode_outer(chosen).alias("token"))
+    pivots = rows.groupBy("token").agg(F.count("*").alias("k"), *(F.min_by(c, "doc").alias(f"p_{c}") for c in ("cid", "n", "bm"))).filter("k > 1").drop("k")
+    met = rows.join(pivots, "token").filter((F.col("cid") != F.col("p_cid")) & _possible(F.col("n"), F.col("p_n"), F.col("bm"), F.col("p_bm"), percent))
+    return met.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
 
 
-def later_matches(lines: DataFrame, percent: int = 80, sketch_bits: int = 16) -> DataFrame:
-    """``(x)``: ids of those lines of ``lines(cid, line)`` to which a line with a smaller id is similar.
+def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: the pairs of ``classes`` with ``settled`` that share a prefix token and pass all filters, but those of two settled lines.
 
-    First, lines that share a minimum hash are compared with the two before them in order: that
-    settles most members of a group of near copies without forming its pairs.  Then each line that is still
-    open is joined on prefix tokens with all earlier lines, under the positional, length
-    and bitmap filters, and candidates are verified on their words.  Both steps are exact, and an
-    open line has no verified match so far.  That cuts the pairs of a large group of near copies but does
-    not bound them: lines the first step leaves open still meet all earlier members.
+    The longer line (by cid, if they are as long) takes part with its whole prefix, the shorter one with the shorter prefix that is enough
+    for partners at least as long.  Rows are kept narrow: size, position and whether the line is settled share one long.
     """
-    spark = lines.sparkSession
-    tokens = lines.select("cid", _token_set(F.col("line")).alias("tokens"))
-    keyed = tokens.select("cid", F.struct("cid", F.size("tokens").alias("n"), _bitmap(F.col("tokens")).alias("bm")).alias("x"), F.slice(F.sort_array("tokens"), 1, 3).alias("keys"))
-    keyed = keyed.select("cid", "x", F.explode_outer("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy("cid")
-    before = keyed.select("x", F.lag("x", 1).over(order).alias("y1"), F.lag("x", 2).over(order).alias("y2"))
-    pairs = before.select("x", F.explode(F.array("y1", "y2")).alias("y")).filter("y is not null")
-    near = _possible(*(F.col(c) for c in ("x.n", "y.n", "x.bm", "y.bm")), percent)
-    settled, settled_path = materialize(_verified(pairs.filter(near).select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")), lines, percent), "lines-settled")
-    release(spark)
-    table = rarity_sketch(lines, sketch_bits)
-    release(spark)
-    marked = lines.join(settled.select(F.col("x").alias("cid"), F.lit(True).alias("s")), "cid", "left").select("cid", "line", F.coalesce("s", F.lit(False)).alias("settled"))
-    postings = _postings(marked, table, percent)  # both sides are the same exchange
-    size = lambda k: F.call_function("shiftright", F.col(f"{k}.packed"), F.lit(32))
-    pos = lambda k: F.call_function("shiftright", F.col(f"{k}.packed").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(1))
-    nx, ny = size("x"), size("y")
-    left = F.least(nx - pos("x"), ny - pos("y"))  # positions from 0: the token itself counts
-    x, y = _side(postings, "x"), _side(postings, "y")
-    # with a part of y, so that it is not pushed below one side: both sides stay one exchange
-    open_ = F.col("x.packed").bitwiseAND(F.lit(1)) <= F.col("y.cid").bitwiseAND(F.lit(0))
-    joined = x.join(y, (x["token"] == y["token"]) & open_ & (F.col("y.cid") < F.col("x.cid")) & _possible(nx, ny, F.col("x.bm"), F.col("y.bm"), percent) & (left >= _overlap(nx, ny, percent)))
-    found, found_path = materialize(_verified(joined.select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")), lines, percent), "lines-found")
-    release(spark)
-    both, _ = materialize(settled.unionByName(found), "lines-later")
-    discard(spark, settled_path)
-    discard(spark, found_path)
-    return both
-
-
-def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 5, sketch_bits: int = 16) -> DataFrame:
+    long_, n = "long", F.col("n").cast("long")
+    rows = classes.select("cid", (n * (1 << 32) + F.col("settled").cast(long_)).alias("size"), "bm", F.posexplode_outer("prefix").alias("pos", "token")).select("token", "cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "bm")
+    nx, ny = (F.call_function("shiftright", F.col(f"{k}_packed"), F.lit(32)) for k in "xy")
+    px, py = (F.call_function("shiftright", F.col(f"{k}_packed").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(1)) for k in "xy")
+    x, y = (rows.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("cid", "packed", "bm"))) for k in "xy")
+    y = y.filter(py <= ny - _overlap(ny, ny, percent))
+    open_ = F.col("x_packed").bitwiseAND(F.col("y_packed")).bitwiseAND(F.lit(1)) == 0
+    longer = (nx > ny) | ((nx == ny) & (F.col("x_cid") > F.col("y_cid")))
+    left = F.least(nx - px, ny - py)  # positions from 0: the token itself counts
+    joined = x.join(y, "token").filter(longer & open_ & (left >= _overlap(nx, ny, percent)) & _possible(nx, ny, F.col("x_bm"), F.col("y_bm"), percent))
+    return joined.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
+
+
+def _later(pairs: DataFrame, classes: DataFrame, df: DataFrame, text: str, id_col: str, percent: int) -> DataFrame:
+    """``(cid)``: the later line of each of the ``pairs(a, b)`` whose whole lines are similar enough."""
+    pairs, pairs_path = materialize(pairs, "line-pairs")
+    asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    asked, asked_path = materialize(asked, "lines-asked")
+    where = classes.select("cid", *_ORDER).join(sized(asked), "cid").groupBy("doc", "th").agg(F.collect_list(F.struct("no", "cid")).alias("want"))
+    where, where_path = materialize(where, "lines-where")
+    t = F.col(text).cast("string")
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"))
+    met = texts.join(sized(where), ["doc", "th"]).select("doc", "th", F.split("t", "\n").alias("lines"), F.explode_outer("want").alias("w"))
+    lines = met.select(F.col("w.cid").alias("cid"), F.struct("doc", F.col("w.no").alias("no"), "th").alias("at"), F.array_distinct(_words(F.get("lines", F.col("w.no")))).alias("words")).dropDuplicates(["cid"])
+    lines, lines_path = materialize(lines, "lines-words")
+    both = pairs.join(lines.select(F.col("cid").alias("a"), F.struct("at", "words").alias("x")), "a").join(lines.select(F.col("cid").alias("b"), F.struct("at", "words").alias("y")), "b")
+    common = F.size(F.array_intersect("x.words", "y.words"))
+    same = both.filter((100 + percent) * common >= percent * (F.size("x.words") + F.size("y.words")))
+    found, _ = materialize(same.select(F.when(F.col("x.at") > F.col("y.at"), F.col("a")).otherwise(F.col("b")).alias("cid")).distinct(), "lines-later")
+    for path in (pairs_path, asked_path, where_path, lines_path):
+        discard(df.sparkSession, path)
+    return found
+
+
+def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 1, sketch_bits: int = 17, keys: int = 3) -> DataFrame:
     """``(row, text, n_lines, removed)`` for every row of ``df``: its text without lines that came before.
 
     Lines are parts between \\n; a line's tokens are its distinct words.  A line of at least
     ``min_words`` words goes if an earlier line, by (doc_id, line number), is equal to it or has a Jaccard
     similarity of ``percent`` / 100 or more with it; whether that earlier line stays does not
-    matter.  ``removed`` are the numbers of the lines that went, from 0; shorter lines always stay, and with
-    ``min_words=1``, as in the query and the pipeline, only lines without words.
+    matter.  ``removed`` are the numbers of the lines that went, from 0; shorter lines always stay, and lines without words.
 
     Equal lines are one class: its first line counts, whatever the number of copies, and equality is
-    that of 128 bits of hash.  A null text stays null, with no lines; an empty text has one line, which stays.
+    that of 128 bits of hash.  Each class is first compared with the first ones that share a token with it; that settles
+    almost all of a large group of near copies by one row each.  Then all classes are joined on prefix tokens, but pairs in which
+    both lines are settled; candidates of either step are verified on their words.  Tables that
+    are measured to be small are broadcast, others meet by key.
+
+    A null text stays null, with no lines; an empty text has one line, which stays; a very long text or line is one row, whole.
     A null doc_id comes first in order.  Rows that repeat a document get the same
-    decision; different texts under one doc_id are told apart.  The input row is kept whole in ``row``.
+    decision; different texts under one doc_id are told apart; where they tie in doc_id and line number, a hash of the text decides.
+    An empty table gives an empty result.  The input row is kept whole in ``row``, so no column can clash.
     """
     spark = df.sparkSession
     lines = _lines(df, text, id_col).filter(_long_enough(F.col("line"), min_words))
-    h1, h2 = F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2")
-    classes = lines.groupBy("line").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "line_no", "th")).alias("first"))
-    # ids follow the order of the first lines: range partitions, sorted, numbered one after the other
-    ordered = classes.repartitionByRange("first").sortWithinPartitions("first")
-    classes, classes_path = materialize(ordered.select(F.monotonically_increasing_id().alias("cid"), "first", "line", h1, h2), "lines")
-    release(spark)
-    later = later_matches(classes.select("cid", "line"), percent, sketch_bits)
-    heads = classes.select("cid", "first", "h1", "h2").join(later.select(F.col("x").alias("cid"), F.lit(True).alias("later")), "cid", "left").select("h1", "h2", "first", F.coalesce("later", F.lit(False)).alias("later"))
-    heads, _ = materialize(heads, "line-heads")
+    classes, classes_path = materialize(_classes(lines, rarity_levels(df, text, sketch_bits), percent), "lines")
+    settled = _later(_through_pivots(classes, percent, keys), classes, df, text, id_col, percent)
+    marked = classes.select("cid", "n", "bm", "prefix").join(sized(settled).withColumn("s", F.lit(True)), "cid", "left").select("cid", "n", "bm", "prefix", F.coalesce("s", F.lit(False)).alias("settled"))
+    found = _later(_by_prefix(marked, percent), classes, df, text, id_col, percent)
+    later, _ = materialize(settled.unionByName(found).distinct(), "lines-all-later")
+    heads = classes.select("cid", "h1", "h2", "copies", F.struct(*_ORDER).alias("first")).join(sized(later).withColumn("later", F.lit(True)), "cid", "left")
+    heads, heads_path = materialize(heads.filter("later or copies > 1").select("h1", "h2", "first", F.coalesce("later", F.lit(False)).alias("later")), "line-heads")
     discard(spark, classes_path)
-    release(spark)
-    here = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "line_no", "th")
-    gone = lines.select("doc_id", "th", "line_no", here.alias("here"), h1, h2).join(heads, ["h1", "h2"]).filter("later or here <> first").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    gone = gone.select(F.struct(F.col("doc_id").alias("i"), F.col("th").alias("h")).alias("key"), "removed")
+    here = lines.select("doc", "th", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"))
+    gone = here.join(sized(heads), ["h1", "h2"]).filter(F.col("later") | (F.struct(*_ORDER) != F.col("first"))).groupBy("doc", "th").agg(F.array_sort(F.collect_set("no")).alias("removed"))
+    gone, _ = materialize(gone, "lines-gone")
+    discard(spark, heads_path)
     t = F.col("row").getField(text).cast("string")
-    rows = as_row(df).select("row", F.struct(F.col("row").getField(id_col).cast("long").alias("i"), F.xxhash64(t).alias("h")).alias("key"))
-    met = rows.join(gone, rows["key"] == gone["key"], "left").select("row", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    rows = as_row(df).select("row", F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"))
+    met = rows.join(sized(gone), ["doc", "th"], "left").select("row", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     met = met.withColumn("lines", F.split(t, "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     left = F.when(F.size("removed") == 0, t).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))

@@ -121,13 +121,13 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def removed_lines(texts):
+def removed_lines(texts, least=1):
     earlier, out = [], {}
     for i in sorted(texts, key=lambda x: (x is not None, x or 0)):
         out[i] = []
         for k, line in enumerate((texts[i] if texts[i] is not None else "").split("\n")):
             s = set(words(line))
-            if len(words(line)) >= 5:
+            if len(words(line)) >= least:
                 if any(9 * len(s & e) >= 4 * (len(s) + len(e)) for e in earlier):
                     out[i].append(k)
                 earlier.append(s)
