@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import SPACE_RUN, as_row, discard, materialize, sized, words_of
+from marlstone.llm.common import SPACE_RUN, as_row, discard, materialize, sized
 
 # Generators here are the outer ones: for the others the optimizer infers a filter on the array and pushes it
 # down, where the array is computed once more for every mention.  No line has an empty array.
-_SPACE, _WORD = r"[ \t\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
 #: Bits of a token that are hash; its rarity is above them.
 HASH_BITS = 57
 _ORDER = ("doc", "no", "th")
@@ -21,13 +22,10 @@ def _lines(df: DataFrame, text: str, id_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), F.posexplode_outer(F.split(t, "\n")).alias("no", "line"))
 
 
-def _long_enough(line: Column, min_words: int) -> Column:
-    return line.rlike(f"^{_SPACE}*(?:{_WORD}+{_SPACE}+){{{max(0, min_words - 1)}}}{_WORD}")
-
-
-def _words(line: Column) -> Column:
-    """The words of a line that has one."""
-    return F.split(F.btrim(line, F.lit(" \t\x0b\f\r")), SPACE_RUN)
+def _hashes(line: Column) -> Column:
+    """64-bit hashes of the words of a line, repeats included."""
+    words = F.transform(F.split(line, SPACE_RUN), lambda w: F.xxhash64(w))
+    return F.array_remove(words, F.xxhash64(F.lit("")))  # what stands before or after white space at an end
 
 
 def _overlap(nx: Column, ny: Column, percent: int) -> Column:
@@ -55,7 +53,7 @@ def rarity_levels(df: DataFrame, text: str, bits: int) -> list[int]:
 
 
 def _measured(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """``(h1, h2, doc, no, th, n, bm, prefix)`` of each line: its distinct tokens, rarest first, as far as the prefix goes.
+    """``(h1, h2, doc, no, th, words, n, bm, prefix)`` of each line: its distinct tokens, rarest first, as far as the prefix goes.
 
     ``bm`` is the parity of the tokens per bit: the bits in which two bitmaps differ are at most the tokens in which two sets differ.
     """
@@ -65,45 +63,47 @@ def _measured(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
         level = F.get(held, h.bitwiseAND(F.lit(len(levels) - 1)).cast("int")).cast("long")
         return F.call_function("shiftleft", level, F.lit(HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - HASH_BITS)))
 
-    step = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"), *_ORDER, F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    step = step.select("h1", "h2", *_ORDER, F.sort_array(F.transform("h", token)).alias("tokens"))
+    step = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"), *_ORDER, _hashes(F.col("line")).alias("h"))
+    step = step.select("h1", "h2", *_ORDER, F.size("h").alias("words"), F.array_distinct("h").alias("h"))
+    step = step.select("h1", "h2", *_ORDER, "words", F.sort_array(F.transform("h", token)).alias("tokens"))
     n = F.size("tokens")
     bit = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
-    return step.select("h1", "h2", *_ORDER, n.alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), bit).alias("bm"), F.slice("tokens", 1, n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1).alias("prefix"))
+    return step.select("h1", "h2", *_ORDER, "words", n.alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), bit).alias("bm"), F.slice("tokens", 1, n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1).alias("prefix"))
 
 
-def _classes(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """One row per different line (128 bits of hash): its first place, what is measured of it, a ``cid`` in no order, and its copies."""
-    found = _measured(lines, levels, percent).groupBy("h1", "h2").agg(F.min(F.struct(*_ORDER, "n", "bm", "prefix")).alias("m"), F.count("*").alias("copies"))
+def _classes(lines: DataFrame, levels: list[int], percent: int, min_words: int) -> DataFrame:
+    """One row per different line (128 bits of hash) of enough words: its first place, what is measured of it, a ``cid`` in no order, and its copies."""
+    found = _measured(lines, levels, percent).groupBy("h1", "h2").agg(F.min(F.struct(*_ORDER, "words", "n", "bm", "prefix")).alias("m"), F.count("*").alias("copies")).filter(F.col("m.words") >= max(1, min_words))
     return found.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "m.*", "copies")
 
 
 def _through_pivots(classes: DataFrame, percent: int, keys: int) -> DataFrame:
-    """``(a, b)``: each line with the first line that shares one of its ``keys`` chosen prefix tokens, where both can be similar.
+    """``(a, b)``: each line with the first line of about its size that shares one of its ``keys`` chosen prefix tokens, where both can be similar.
 
     That is one row per line and token, whatever the size of a group of near copies, and settles almost all of its members.
     The choice goes by hash, not by rarity: words that only one copy has are the rarest.
     """
     chosen = F.slice(F.sort_array(F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))), 1, keys)
-    rows = classes.select("cid", "doc", "n", "bm", F.explode_outer(chosen).alias("token"))
+    rows = classes.select("cid", "doc", "n", "bm", F.explode_outer(chosen).alias("token")).withColumn("token", F.xxhash64("token", F.floor(F.log("n") / math.log(100 / percent))))
     pivots = rows.groupBy("token").agg(F.count("*").alias("k"), *(F.min_by(c, "doc").alias(f"p_{c}") for c in ("cid", "n", "bm"))).filter("k > 1").drop("k")
     met = rows.join(pivots, "token").filter((F.col("cid") != F.col("p_cid")) & _possible(F.col("n"), F.col("p_n"), F.col("bm"), F.col("p_bm"), percent))
     return met.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
 
 
 def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: the pairs of ``classes`` with ``settled`` that share a prefix token and pass all filters, but those of two settled lines.
+    """``(a, b)``: the pairs of ``classes`` with ``settled`` that share a prefix token and pass all filters, but those whose later line is settled.
 
     The longer line (by cid, if they are as long) takes part with its whole prefix, the shorter one with the shorter prefix that is enough
     for partners at least as long.  Rows are kept narrow: size, position and whether the line is settled share one long.
     """
     long_, n = "long", F.col("n").cast("long")
-    rows = classes.select("cid", (n * (1 << 32) + F.col("settled").cast(long_)).alias("size"), "bm", F.posexplode_outer("prefix").alias("pos", "token")).select("token", "cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "bm")
+    rows = classes.select("cid", (n * (1 << 32) + F.col("settled").cast(long_)).alias("size"), "doc", "bm", F.posexplode_outer("prefix").alias("pos", "token")).select("token", "cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "doc", "bm")
     nx, ny = (F.call_function("shiftright", F.col(f"{k}_packed"), F.lit(32)) for k in "xy")
     px, py = (F.call_function("shiftright", F.col(f"{k}_packed").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(1)) for k in "xy")
-    x, y = (rows.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("cid", "packed", "bm"))) for k in "xy")
+    x, y = (rows.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("cid", "packed", "doc", "bm"))) for k in "xy")
     y = y.filter(py <= ny - _overlap(ny, ny, percent))
-    open_ = F.col("x_packed").bitwiseAND(F.col("y_packed")).bitwiseAND(F.lit(1)) == 0
+    sx, sy = (F.col(f"{k}_packed").bitwiseAND(F.lit(1)) == 1 for k in "xy")
+    open_ = (~sx & ~sy) | (~sx & (F.col("x_doc") >= F.col("y_doc"))) | (~sy & (F.col("y_doc") >= F.col("x_doc")))
     longer = (nx > ny) | ((nx == ny) & (F.col("x_cid") > F.col("y_cid")))
     left = F.least(nx - px, ny - py)  # positions from 0: the token itself counts
     joined = x.join(y, "token").filter(longer & open_ & (left >= _overlap(nx, ny, percent)) & _possible(nx, ny, F.col("x_bm"), F.col("y_bm"), percent))
@@ -111,7 +111,7 @@ def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _later(pairs: DataFrame, classes: DataFrame, df: DataFrame, text: str, id_col: str, percent: int) -> DataFrame:
-    """``(cid)``: the later line of each of the ``pairs(a, b)`` whose whole lines are similar enough."""
+    """``(cid)``: the later line of each of the ``pairs(a, b)`` whose whole lines are similar enough, compared by their words' 64-bit hashes."""
     pairs, pairs_path = materialize(pairs, "line-pairs")
     asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     asked, asked_path = materialize(asked, "lines-asked")
@@ -120,7 +120,7 @@ def _later(pairs: DataFrame, classes: DataFrame, df: DataFrame, text: str, id_co
     t = F.col(text).cast("string")
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"))
     met = texts.join(sized(where), ["doc", "th"]).select("doc", "th", F.split("t", "\n").alias("lines"), F.explode_outer("want").alias("w"))
-    lines = met.select(F.col("w.cid").alias("cid"), F.struct("doc", F.col("w.no").alias("no"), "th").alias("at"), F.array_distinct(_words(F.get("lines", F.col("w.no")))).alias("words")).dropDuplicates(["cid"])
+    lines = met.select(F.col("w.cid").alias("cid"), F.struct("doc", F.col("w.no").alias("no"), "th").alias("at"), F.array_distinct(_hashes(F.get("lines", F.col("w.no")))).alias("words")).dropDuplicates(["cid"])
     lines, lines_path = materialize(lines, "lines-words")
     both = pairs.join(lines.select(F.col("cid").alias("a"), F.struct("at", "words").alias("x")), "a").join(lines.select(F.col("cid").alias("b"), F.struct("at", "words").alias("y")), "b")
     common = F.size(F.array_intersect("x.words", "y.words"))
@@ -131,7 +131,7 @@ def _later(pairs: DataFrame, classes: DataFrame, df: DataFrame, text: str, id_co
     return found
 
 
-def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 1, sketch_bits: int = 17, keys: int = 3) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 1, sketch_bits: int = 16, keys: int = 4) -> DataFrame:
     """``(row, text, n_lines, removed)`` for every row of ``df``: its text without lines that came before.
 
     Lines are parts between \\n; a line's tokens are its distinct words.  A line of at least
@@ -151,10 +151,10 @@ def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", perce
     An empty table gives an empty result.  The input row is kept whole in ``row``, so no column can clash.
     """
     spark = df.sparkSession
-    lines = _lines(df, text, id_col).filter(_long_enough(F.col("line"), min_words))
-    classes, classes_path = materialize(_classes(lines, rarity_levels(df, text, sketch_bits), percent), "lines")
+    lines = _lines(df, text, id_col)
+    classes, classes_path = materialize(_classes(lines, rarity_levels(df, text, sketch_bits), percent, min_words), "lines")
     settled = _later(_through_pivots(classes, percent, keys), classes, df, text, id_col, percent)
-    marked = classes.select("cid", "n", "bm", "prefix").join(sized(settled).withColumn("s", F.lit(True)), "cid", "left").select("cid", "n", "bm", "prefix", F.coalesce("s", F.lit(False)).alias("settled"))
+    marked = classes.select("cid", "doc", "n", "bm", "prefix").join(sized(settled).withColumn("s", F.lit(True)), "cid", "left").select("cid", "doc", "n", "bm", "prefix", F.coalesce("s", F.lit(False)).alias("settled"))
     found = _later(_by_prefix(marked, percent), classes, df, text, id_col, percent)
     later, _ = materialize(settled.unionByName(found).distinct(), "lines-all-later")
     heads = classes.select("cid", "h1", "h2", "copies", F.struct(*_ORDER).alias("first")).join(sized(later).withColumn("later", F.lit(True)), "cid", "left")
