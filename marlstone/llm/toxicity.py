@@ -33,8 +33,8 @@ def _path(word: str) -> list[tuple[str, str]]:
     return [(head[:k], head[k]) for k in range(len(head))] + [(head, "$" + word[DEPTH:])]
 
 
-def _step_counts(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``(*by, h, a, n)``: how often ``a`` follows the word beginning ``h`` in the texts of ``rows(text, *by)``, exactly.
+def _counted(rows: DataFrame, by: list[str], parts_of, names: list[str]) -> DataFrame:
+    """``(*by, *names, n)``: how often each of ``parts_of(word)`` comes in the texts of ``rows(text, *by)``, exactly.
 
     Tasks send on their own sums; these meet by key, so the table grows with the words of the
     corpus and no task or driver holds it whole.
@@ -43,13 +43,13 @@ def _step_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     def sums(counts: Counter):
         found: Counter = Counter()
         for (word, *key), n in counts.items():
-            for step in _path(word):
-                found[(*key, *step)] += n
+            for part in parts_of(word):
+                found[(*key, *part)] += n
         items = list(found)
         for i in range(0, len(items), 1 << 16):
             part = items[i : i + (1 << 16)]
             cols = [pa.array(c, pa.int32() if k < len(by) else pa.string()) for k, c in enumerate(zip(*part, strict=True))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([found[x] for x in part], pa.int64())], names=[*by, "h", "a", "n"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([found[x] for x in part], pa.int64())], names=[*by, *names, "n"])
 
     def run(batches):
         counts: Counter = Counter()
@@ -62,13 +62,18 @@ def _step_counts(rows: DataFrame, by: list[str]) -> DataFrame:
                     counts = Counter()
         yield from sums(counts)
 
-    parts = rows.select("text", *by).mapInArrow(run, "".join(f"{c} int, " for c in by) + "h string, a string, n long")
-    return parts.groupBy(*by, "h", "a").agg(F.sum("n").alias("n"))
+    parts = rows.select("text", *by).mapInArrow(run, "".join(f"{c} int, " for c in by) + "".join(f"{c} string, " for c in names) + "n long")
+    return parts.groupBy(*by, *names).agg(F.sum("n").alias("n"))
+
+
+def _step_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, h, a, n)``: how often ``a`` follows the word beginning ``h``."""
+    return _counted(rows, by, _path, ["h", "a"])
 
 
-def shared_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(h, a, n)``: the steps of the words of all texts, which both models back off to."""
-    return materialize(_step_counts(docs.select(F.col(text).cast("string").alias("text")), []), "toxicity-steps")[0]
+def corpus_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(word, n)`` of all texts: what both models back off to is counted from it."""
+    return materialize(_counted(docs.select(F.col(text).cast("string").alias("text")), [], lambda w: [(w,)], ["word"]), "toxicity-words")[0]
 
 
 def _contexts(h: str) -> list[str]:
@@ -76,12 +81,16 @@ def _contexts(h: str) -> list[str]:
     return [f"^{h}", *(h[-n:] for n in SHORTER if len(h) >= n)]
 
 
-def continuations(shared: DataFrame) -> DataFrame:
-    """``(g, a, n)``: after how many different contexts of one letter more ``a`` follows ``g``, in all texts, for ``g`` of 0 to 3 letters.
+def continuations(words: DataFrame) -> DataFrame:
+    """``(g, a, n)``: after how many different contexts of one letter more ``a`` follows ``g``, in all ``words(word)``, for ``g`` of 0 to 3 letters.
 
-    A word's beginning is a context of its own: ``^`` stands before the first letter.
+    A word's beginning is a context of its own: ``^`` stands before the first letter.  Words meet
+    as pairs of a context of four letters and what follows it, so little travels.
     """
-    level = shared.select(F.when(F.length("h") < 4, F.concat(F.lit("^"), "h")).otherwise(F.expr("right(h, 4)")).alias("c"), "a").distinct()
+    length = F.least(F.length("word"), F.lit(DEPTH))
+    at = F.transform(F.sequence(F.lit(0), length), lambda k: F.struct(F.when(k < 4, F.concat(F.lit("^"), F.substring("word", F.lit(1), k))).otherwise(F.substring("word", k - 3, F.lit(4))).alias("c"), F.when(k < length, F.substring("word", k + 1, F.lit(1))).otherwise(F.concat(F.lit("$"), F.substring("word", F.lit(DEPTH + 1), F.length("word")))).alias("a")))
+    level = words.select(F.explode_outer(at).alias("x")).select("x.*").distinct()
+    level, _ = materialize(level, "toxicity-pairs")
     found = None
     for n in range(3, -1, -1):
         whole = F.length("c") == n + 1  # a context of one letter more, or a word's beginning of n letters
@@ -123,15 +132,15 @@ def class_tables(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.filter(tells).drop("d"), contexts
 
 
-def known_steps(shared: DataFrame, sample: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, dict[str, float]]:
+def known_steps(words: DataFrame, sample: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, dict[str, float]]:
     """The class tables, and P(a | g) of all texts by ``g + a`` for their steps; ``g`` are the last three letters before ``a``.
 
     P is interpolated Kneser-Ney over the continuation counts of all texts.  Other steps need none: both models
-    leave them to P, which cancels in the ratio.
+    leave them to P, which cancels in the ratio.  The tables have the size of the bounded sample.
     """
     steps_, contexts = class_tables(sample)
     steps_, _ = materialize(steps_, "toxicity-steps-kept")
-    counts, _ = materialize(continuations(shared), "toxicity-continuations")
+    counts, _ = materialize(continuations(words), "toxicity-continuations")
     asked = steps_.select(F.explode(F.array(*(F.struct(F.expr(f"right(replace(context, '^', ''), {n})").alias("g"), "a") for n in range(4)))).alias("x")).select("x.*").distinct()
     sums = counts.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     told = counts.join(asked, ["g", "a"]).join(sums, "g").toPandas()
@@ -142,32 +151,37 @@ def known_steps(shared: DataFrame, sample: DataFrame) -> tuple[pd.DataFrame, pd.
     return steps_.toPandas(), contexts.toPandas(), p
 
 
-def _class_model(steps_: pd.DataFrame, contexts: pd.DataFrame, c: str, shared: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
-    """P(a | context) by ``context + a`` for the steps of the tables, and what each context leaves to the next shorter one."""
-    total = dict(zip(contexts["context"], contexts[f"t_{c}"].tolist(), strict=True))
-    left = {x: g / total[x] if total[x] else 1.0 for x, g in zip(contexts["context"], contexts[f"g_{c}"].tolist(), strict=True)}
-    p: dict[str, float] = {}
-    for context, a, n in sorted(zip(steps_["context"], steps_["a"], steps_[c].tolist(), strict=True), key=lambda r: (r[0][:1] == "^", len(r[0]))):
-        kept = max(n - (DISCOUNT if context[0] == "^" else LOWER_DISCOUNT), 0)
-        p[context + a] = (kept / total[context] if kept else 0.0) + left[context] * _lower(context, a, p, left, shared)
-    return p, left
-
-
-def _shorter(context: str) -> str | None:
-    """The context after ``context``; None where all texts are next."""
-    rest = _contexts(context[1:])[1:] if context[0] == "^" else [context[1:]] * (len(context) > SHORTER[-1])
-    return rest[0] if rest else None
+def _levels(contexts: pd.Series) -> list[np.ndarray]:
+    """Positions of the contexts of each kind, shortest first; the words' beginnings come last."""
+    first, size = contexts.str[:1] == "^", contexts.str.len()
+    return [np.nonzero(~first & (size == n))[0] for n in sorted(SHORTER)] + [np.nonzero(first)[0]]
 
 
-def _lower(context: str, a: str, p: dict[str, float], left: dict[str, float], shared: dict[str, float]) -> float:
-    """P(a | what comes after ``context``)."""
-    rest = _shorter(context)
-    return shared[context.lstrip("^")[-3:] + a] if rest is None else _probability(rest, a, p, left, shared)
-
-
-def _probability(context: str, a: str, p: dict[str, float], left: dict[str, float], shared: dict[str, float]) -> float:
-    found = p.get(context + a)
-    return left.get(context, 1.0) * _lower(context, a, p, left, shared) if found is None else found
+def _class_model(known: tuple[pd.DataFrame, pd.DataFrame, dict[str, float]], c: str) -> tuple[np.ndarray, np.ndarray]:
+    """P(a | context) of the steps, and what each context leaves to the next shorter one, in the order of the tables of ``known``."""
+    steps_, contexts, shared = known
+    total, given = contexts[f"t_{c}"].to_numpy(float), contexts[f"g_{c}"].to_numpy(float)
+    left = np.where(total > 0, given / np.maximum(total, 1), 1.0)
+    row = pd.Series(np.arange(len(contexts)), index=contexts["context"])
+    own = row.reindex(steps_["context"]).to_numpy()
+    kept = np.maximum(steps_[c].to_numpy(float) - np.where(steps_["context"].str[:1] == "^", DISCOUNT, LOWER_DISCOUNT), 0) / np.maximum(total[own], 1)
+    plain, a = steps_["context"].str.replace("^", "", regex=False), steps_["a"]
+    p = np.zeros(len(steps_))
+    lower = (plain.str[-3:] + a).map(shared).to_numpy(float)  # P of all texts, then of ever longer contexts
+    done: list[tuple[int, pd.Series]] = []
+    for at, n in zip(_levels(steps_["context"]), [*sorted(SHORTER), 0], strict=True):
+        below = lower[at]
+        for size, found in done:  # the next shorter context, as far as the letters before ``a`` go
+            long_enough = (plain.iloc[at].str.len() >= size).to_numpy()
+            context = plain.iloc[at].str[-size:]
+            weight = row.reindex(context).to_numpy()
+            passed = np.where(np.isnan(weight), 1.0, left[np.nan_to_num(weight).astype(int)]) if len(left) else np.ones(len(at))
+            here = found.reindex(context + a.iloc[at]).to_numpy()
+            below = np.where(long_enough, np.where(np.isnan(here), passed * below, here), below)
+        p[at] = kept[at] + left[own[at]] * below
+        if n:
+            done.append((n, pd.Series(p[at], index=steps_["context"].iloc[at] + a.iloc[at])))
+    return p, left
 
 
 def log_ratios(known: tuple[pd.DataFrame, pd.DataFrame, dict[str, float]], classes: tuple[str, str]) -> tuple[dict[str, float], dict[str, float]]:
@@ -176,12 +190,14 @@ def log_ratios(known: tuple[pd.DataFrame, pd.DataFrame, dict[str, float]], class
     Interpolated Kneser-Ney: each count gives up ``DISCOUNT`` (a continuation count ``LOWER_DISCOUNT``), and what a
     context's followers give up goes to them by the next shorter context; the last one goes to all texts.
     """
-    steps_, contexts, shared = known
-    (p0, left0), (p1, left1) = (_class_model(steps_, contexts, c, shared) for c in classes)
-    return {k: float(np.log(p1[k] / p0[k])) for k in p0}, {k: float(np.log(left1[k] / left0[k])) for k in left0}
+    (p0, left0), (p1, left1) = (_class_model(known, c) for c in classes)
+    steps_, contexts, _ = known
+    told, passed = np.log(p1 / p0), np.log(np.maximum(left1, 1e-300) / np.maximum(left0, 1e-300))
+    return dict(zip(steps_["context"] + steps_["a"], told.tolist(), strict=True)), {x: r for x, r in zip(contexts["context"], passed.tolist(), strict=True) if r}
 
 
 def _word_ratio(word: str, known: dict[str, float], passing: dict[str, float]) -> float:
+    """log P(word | toxic) - log P(word | ordinary)."""
     total = 0.0
     for h, a in _path(word):
         for context in _contexts(h):
@@ -193,30 +209,18 @@ def _word_ratio(word: str, known: dict[str, float], passing: dict[str, float]) -
     return total
 
 
-_FEATURES = ["whole", "first", "top"]
-
-
-def _features(texts: list[str], model: tuple[dict[str, float], dict[str, float]], memo: dict[str, float], top: int = 4) -> np.ndarray:
-    """Per text the log ratio by word: over the whole text, of its most telling word, and over the ``top`` most telling ones."""
-    out = np.zeros((len(texts), 3))
+def _normalised(texts: list[str], model: tuple[dict[str, float], dict[str, float]], memo: dict[str, float], margin: float) -> np.ndarray:
+    """Per text the log ratios of its words, each less ``margin`` and not below 0, by the number of its words."""
+    out = np.zeros(len(texts))
     for lo, hi in steps(texts):
-        number: dict[str, int] = {}
-        flat: list[int] = []
-        ends = []
-        for t in texts[lo:hi]:
-            flat += [number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())]
-            ends.append(len(flat))
-        if not flat:
-            continue
-        if len(memo) > HELD_WORDS:
-            memo.clear()
-        memo.update((w, _word_ratio(w, *model)) for w in number if w not in memo)
-        ratio = np.fromiter((memo[w] for w in number), dtype=np.float64, count=len(number))[np.array(flat)]
-        for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-            r = ratio[a:b]
-            if len(r):
-                best = np.partition(r, len(r) - top)[-top:] if len(r) > top else r
-                out[lo + i] = r.mean(), r.max(), best.sum() / top
+        for i in range(lo, hi):
+            if len(memo) > HELD_WORDS:
+                memo.clear()
+            words = _WORD.findall(texts[i].lower())
+            for w in set(words).difference(memo):
+                memo[w] = max(_word_ratio(w, *model) - margin, 0.0)
+            if words:
+                out[i] = sum(map(memo.__getitem__, words)) / len(words)
     return out
 
 
@@ -232,49 +236,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", most_rows: int = 20_000, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", most_rows: int = 20_000, threshold: float = 0.5, margin: float = 4.0) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
     Two Kneser-Ney models of words by their letters, of toxic and of ordinary texts, are fitted on
     at most ``most_rows`` labelled rows outside fold 0, up to half of them toxic.  A letter's context is
     the word so far, then its last four and three letters, by continuation counts, so rare
     forms of an expression share what their beginning or their middle tells; below these both models back
-    off to one distribution, the continuation counts of *all* texts.  A text's log-likelihood ratios by word, of
-    the whole and of its most telling words, become a probability by logistic regression.  That is
+    off to one distribution, the continuation counts of *all* texts, which grow with the corpus.
+
+    A whole text's score comes from one number, its length-normalised log-likelihood ratio: the words' ratios over the number of words.
+    A word's ratio counts as far as it exceeds ``margin``: ratios below are what class counts of ordinary words, and
+    the shares of the languages, differ by chance.  That number's logarithm becomes a probability by logistic regression,
     fitted on the rows of fold 1 with models of the other rows, at the labels' own class shares.
 
-    Words are letters, lower-cased; their beginnings are counted exactly, in a table that grows with the corpus.  Null and empty texts have log ratio 0 and a score all the same.  Without labels of
-    both classes every score is 0.  Repeated rows give repeated rows; other columns are not read.
+    Words are letters, lower-cased.  Null and empty texts have ratio 0 and a score all the same; a very long text is read whole.  Without labels of
+    both classes every score is 0.  Repeated rows give repeated rows; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, text, id_col, most_rows, balanced=True)
-    known = known_steps(shared_counts(docs, text), sample)
+    known = known_steps(corpus_words(docs, text), sample)
 
     def measure(rows: DataFrame, model: tuple[dict[str, float], dict[str, float]]) -> DataFrame:
-        """``(key, whole, first, top)`` of ``rows(key, text)``."""
+        """``(key, x)`` of ``rows(key, text)``."""
         held = spark.sparkContext.broadcast(model)
 
         def run(batches):
             memo: dict[str, float] = {}
             for b in batches:
-                f = _features(texts_of(b.column(1)), held.value, memo)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, i]) for i in range(3))], names=["key", *_FEATURES])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_normalised(texts_of(b.column(1)), held.value, memo, margin))], names=["key", "x"])
 
-        return rows.mapInArrow(run, "key long, " + ", ".join(f"{x} double" for x in _FEATURES))
+        return rows.mapInArrow(run, "key long, x double")
 
     unseen = sample.filter("fold = 1").select(F.col("y").cast("long").alias("key"), "text")
     seen = measure(unseen, log_ratios(known, ("b0", "b1"))).toPandas()
-    x, y = seen[_FEATURES].to_numpy(), seen["key"].to_numpy().astype(float)
+    x, y = np.log(seen[["x"]].to_numpy() + 1e-3), seen["key"].to_numpy().astype(float)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     scores = measure(rows, log_ratios(known, ("a0", "a1")))
     if len(set(y)) < 2:
         z = F.lit(-30.0)
     else:
-        w = _logistic(x, y)
+        slope, level = _logistic(x, y)
         share = labels.filter(F.col(label).isin(0, 1) & (fold_of(F.col(id_col)) != 0)).agg(F.avg(F.col(label))).first()[0]
-        w[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-        z = F.lit(float(w[-1]))
-        for name, weight in zip(_FEATURES, w, strict=False):
-            z = z + float(weight) * F.col(name)
+        level += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+        z = float(level) + float(slope) * F.log(F.col("x") + 1e-3)
     score = 1 / (1 + F.exp(-z))
     return scores.select(F.col("key").alias("doc_id"), (fold_of(F.col("key")) == 0).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))

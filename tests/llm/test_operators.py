@@ -300,11 +300,17 @@ def test_toxicity_counts_are_exact(spark):
 
     rng = np.random.default_rng(6)
     texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 12))) for _ in range(2500)) for _ in range(40)]
-    got = {(r.h, r.a): r.n for r in T.shared_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
-    want = Counter()
-    for w in " ".join(texts).split():
-        want.update([(w[:k], w[k]) for k in range(min(8, len(w)))] + [(w[:8], "$" + w[8:])])
-    assert len(want) > 300_000 and got == want  # so many meet in any table of 2^21 buckets
+    rows = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    want = Counter(" ".join(texts).split())
+    assert {r.word: r.n for r in T.corpus_words(rows).collect()} == want
+    level = set()
+    for w in want:
+        level |= {("^" + w[:k] if k < 4 else w[k - 4 : k], w[k]) for k in range(min(8, len(w)))} | {("^" + w if len(w) < 4 else w[:8][-4:], "$" + w[8:])}
+    got = {(r.g, r.a): r.n for r in T.continuations(T.corpus_words(rows)).collect()}
+    for n in (3, 2, 1, 0):
+        here = Counter((c[1:] if n else "", a) for c, a in level if len(c) == n + 1)
+        assert {k: v for k, v in got.items() if len(k[0]) == n} == here
+        level = {x for x in level if len(x[0]) != n + 1} | set(here)
 
 
 def test_toxicity_backs_off_by_continuation_counts(spark):
@@ -315,7 +321,7 @@ def test_toxicity_backs_off_by_continuation_counts(spark):
     rows = [(i, " ".join(part() + ("nasty" if i % 2 and k % 3 == 0 else "") + part() for k in range(20)), i % 2, 1 + i % 4) for i in range(60)]
     sample = spark.createDataFrame(rows, "doc_id long, text string, y int, fold long")
     docs = spark.createDataFrame([(t,) for _, t, _, _ in rows] + [("abcdefg nastier other words",)], "text string")
-    model = T.log_ratios(T.known_steps(T.shared_counts(docs), sample), ("a0", "a1"))
+    model = T.log_ratios(T.known_steps(T.corpus_words(docs), sample), ("a0", "a1"))
 
     def counts(texts):
         """n by (context, a), for beginnings and the letters before, each from the different longer contexts."""
