@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where the session names none (tests), a new local one."""
+    """The shared folder of the cluster; a session on one machine (tests) that names none gets a new local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -53,9 +56,25 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
             spark.conf.set(_CLEANUP, was)
     fs, p = _fs_path(spark, path)
     fs.deleteOnExit(p)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_written: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What ``materialize`` writes inside goes at the end, but for folders that are taken off the list."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        for path in _written.pop():
+            discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder that nothing will read again."""
     fs, p = _fs_path(spark, path)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import as_row, words_of
+from marlstone.llm.common import as_row, materialize, words_of
 
 #: Fixed: characters that count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -51,8 +51,6 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count("t", F.lit("!(?=[ \t\n\x0b\f\r]|$)")).cast("long").alias("n_marked"),
         F.size(F.filter("w", lambda x: F.length(x) <= 3)).cast("long").alias("n_short"),
         F.regexp_count("t", F.lit(f"(?<![^ \t\n\x0b\f\r]){SYMBOLS}{{1,3}}(?![^ \t\n\x0b\f\r])")).cast("long").alias("n_bare"),
-        # not deterministic: a filter on what follows is not pushed below, where the optimizer would repeat these expressions many times over
-        F.monotonically_increasing_id().alias("at"),
     )
 
 
@@ -113,18 +111,23 @@ def posterior(v: tuple[int, ...], good: list[float], junk: list[float], prior: f
     return 1 / (1 + math.exp(-z))
 
 
-def judge(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """``row``, the counts, ``base_failed``, ``quality`` (posterior probability of good) and ``kept`` for every row of ``df``.
 
     ``base_failed``: n_words < 50, or 100 * n_repeat_words > 50 * n_words.  ``kept``: not base_failed
     and quality >= ``threshold``.  The rules' accuracies are estimated over all rows: their
     vote patterns are counted (at most 3 ** 8 groups, combined on the map side), and only these
-    counts come to the driver.  Null and empty texts have no words, so the base rule fails them;
-    an empty table gives an empty result; the input row is kept whole in ``row``.
+    counts come to the driver.  Each text is measured once: counts and votes are written and read twice.
+
+    Null and empty texts have no words, so the base rule fails them; a very long text is measured whole; repeated rows are
+    judged alike and each is returned; an empty table gives an empty result.  The input row is kept in ``row``, so
+    no column can clash: whole, or the columns ``keep`` of it.
     """
     counted = measured(df, text)
+    if keep is not None:
+        counted = counted.withColumn("row", F.struct(*(F.col("row").getField(c).alias(c) for c in keep)))
     rules = votes()
-    voted = counted.select("*", *(v.alias(f"vote_{k}") for k, v in rules.items()))
+    voted, _ = materialize(counted.select("*", *(v.alias(f"vote_{k}") for k, v in rules.items())), "quality-votes")
     names = [f"vote_{k}" for k in rules]
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).count().collect()]
     good, junk, prior = fit_accuracies(sorted(patterns))
@@ -133,4 +136,4 @@ def judge(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFram
         z = z + F.when(F.col(name) > 0, up).when(F.col(name) < 0, down).otherwise(0.0)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     quality = 1 / (1 + F.exp(-z))
-    return voted.select("row", *(c for c in counted.columns if c not in ("row", "at")), failed.alias("base_failed"), quality.alias("quality"), ((F.col("at") >= 0) & ~failed & (quality >= threshold)).alias("kept"), *names)
+    return voted.select("row", *(c for c in counted.columns if c != "row"), failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= threshold)).alias("kept"), *names)

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.quality_rules import judge
 
-    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
@@ -47,7 +47,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP5_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
-heads AS (SELECT h, n, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY h, n)
+heads AS (SELECT h, n, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY h, n)  -- rows that tie in the largest page_id are all responses
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN head IS NOT NULL AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN head <> page_id THEN head END AS refers_to
 FROM p LEFT JOIN heads USING (h, n)
 """
@@ -56,7 +56,7 @@ FROM p LEFT JOIN heads USING (h, n)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marlstone.llm.line_dedup import dedup_lines
 
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.size("removed").cast("long")
     return found.select("row.doc_id", "n_lines", removed.alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"))
 
