@@ -13,6 +13,8 @@ from marlstone.llm.common import fold_of, materialize
 
 #: Rows of a table that travel and are summed together.
 CHUNK = 1 << 12
+#: Parts of a chunk that are merged in one group at most.
+FAN = 64
 _SCHEMA = "name string, chunk int, at binary, value binary"
 _ARROW = pa.schema([("name", pa.string()), ("chunk", pa.int32()), ("at", pa.binary()), ("value", pa.binary())])
 
@@ -77,10 +79,20 @@ def gather(df: DataFrame, specs: dict[str, Spec], count: Callable[[dict[str, np.
             whole[i] = _MERGE[spec.merge](whole[i], v)
         return pa.Table.from_batches([_batch([(name, chunk, *row[2:])]) for row in _sparse(name, whole)], schema=_ARROW)
 
+    def merge_level(key, group):
+        one = merge(key, group)
+        return one.append_column("task", pa.array([key[2].as_py()] * one.num_rows, pa.int32()))
+
     # the parts are written first: adaptive execution may not join the few large groups into one task
-    parts, _ = materialize(df.mapInArrow(run, _SCHEMA), "tables")
+    parts, _ = materialize(df.mapInArrow(run, _SCHEMA).withColumn("task", F.spark_partition_id()), "tables")
     found = {k: s.new() for k, s in specs.items()}
-    merged = parts.groupBy("name", "chunk").applyInArrow(merge, _SCHEMA)
+    # at most FAN rows of a chunk meet in a group, level by level, however many tasks there were
+    tasks, width, merged = (parts.agg(F.max("task")).first()[0] or 0) + 1, FAN, parts
+    while width < tasks:
+        level = merged.withColumn("task", F.floor(F.col("task") / FAN).cast("int"))
+        merged = level.groupBy("name", "chunk", "task").applyInArrow(merge_level, _SCHEMA + ", task int")
+        width *= FAN
+    merged = merged.groupBy("name", "chunk").applyInArrow(merge, _SCHEMA)
     for r in merged.toLocalIterator():
         flat = found[r["name"]].reshape(len(found[r["name"]]), -1)
         i = np.frombuffer(r["at"], "<u2").astype(np.int64) + r["chunk"] * CHUNK
