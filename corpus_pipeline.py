@@ -1,11 +1,18 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before kept."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before kept.
+
+Odd rows, stage by stage.  A null or empty text fails the quality rules.  A very long text is one row and is read whole by each stage.
+Rows that repeat a document go with it through quality rules and line dedup (where they get the same decision) and are one row
+after near dedup.  Different texts under one doc_id are rows of their own.  A null doc_id comes first in line
+dedup, stays in near dedup only where its group has no other id, and is packed as null.  An empty table gives an empty table.
+Columns of any other name are carried along unread; all but the last stage return the columns of their input, in order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, table
+from marlstone.llm.common import discard, materialize, scratch, table
 from marlstone.llm.decontam import decontaminate
 from marlstone.llm.line_dedup import dedup_lines
 from marlstone.llm.packing import pack_documents
@@ -20,9 +27,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; the documents stay, with n_chars of what is left."""
-    found = dedup_lines(docs, min_words=1)
+    found = dedup_lines(docs)
     changed = F.size("removed") > 0
-    cols = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text")).otherwise(F.col("row.n_chars"))}
+    cols = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(changed, F.length("text")).otherwise(F.col("row.n_chars"))
     return found.select(*(cols.get(f.name, F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
@@ -50,7 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written before the next one reads it; what only a finished stage needed goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as inside:
+            docs, path = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            inside.remove(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

@@ -208,6 +208,16 @@ def test_warc_round_trip(spark):
         list(parse_records(b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 9\r\n\r\nshort"))
 
 
+def test_every_row_of_pages_is_a_capture(spark):
+    from marlstone.llm.warc import archive_round_trip
+
+    a, b = "a" * 1500, "b" * 1500
+    rows = [(1, "http://a", a), (1, "http://b", a), (3, "http://a", a), (3, "http://a", a), (None, "http://c", a), (None, "http://c", b), (None, "http://c", b), (5, "u", "x"), (5, "u", "x"), (6, "u", "y" * 200_000)]
+    got = sorted(map(str, ((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in archive_round_trip(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string").repartition(3)).collect())))
+    want = [(1, 1500, "revisit", 3)] * 2 + [(3, 1500, "response", None)] * 2 + [(None, 1500, "revisit", 3)] + [(None, 1500, "response", None)] * 2 + [(5, 1, "response", None)] * 2 + [(6, 200_000, "response", None)]
+    assert got == sorted(map(str, want))
+
+
 def test_packing(spark, docs, odd_docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -267,6 +277,11 @@ def test_licences(spark, odd_docs):
     texts = ["x | y |\nReleased under the MIT License.", mit, "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0.", "a licence that nobody knows", "", None]
     got = [r.licences for r in scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
     assert got == [["MIT"], ["MIT"], ["Apache-2.0", "CC-BY-NC-4.0"], [], [], []]
+    bsd = [SENTENCES[k][0] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")]
+    wrapped = bsd[:3] + [bsd[3].replace(" ", "\n", 2)]
+    texts = ["All rights\nreserved.", "\n".join(x + "." for x in bsd), "\n".join(x + "." for x in bsd[:3]), "\n".join(x + "." for x in bsd[:3] * 2 + bsd), "\n\n".join(x + "." for x in wrapped), SENTENCES["gpl2-grant"][0] + ". " + SENTENCES["gpl-warranty"][0] + "."]
+    got = [r.licences for r in scan(spark.createDataFrame([(t, "clash") for t in texts], "text string, licences string")).select("licences").collect()]
+    assert got == [["LicenseRef-AllRightsReserved"], ["BSD-3-Clause"], ["BSD-2-Clause"], ["BSD-2-Clause", "BSD-3-Clause"], ["BSD-3-Clause"], ["GPL-2.0-or-later"]]
     assert scan(odd_docs).count() == odd_docs.count() and scan(odd_docs.limit(0)).count() == 0
 
 
@@ -403,6 +418,74 @@ def test_pipeline(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == left
 
 
+def _value(x):
+    return round(x, 6) if isinstance(x, float) else x
+
+
+@pytest.mark.parametrize("name", ["op5_warc", "op8_license_scan", "op10_decontamination"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from marlstone.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, ([_value(r[c]) for c in columns] for r in got.collect()))) == sorted(map(str, ([_value(r[want.columns.index(c)]) for c in columns] for r in want.fetchall())))
+
+
+def test_query_columns_of_the_contract(spark, docs):
+    """Every query over its whole table: its rows, and the columns that brute force gives at once."""
+    from marlstone.llm import queries
+
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {k: {r.doc_id: r for r in f(spark, SF).collect()} for k, f in queries.queries().items() if k not in ("op5_warc", "op7_packing")}
+    assert all(set(rows) == set(text) for rows in found.values())
+    for i, t in text.items():
+        raw = t.encode()
+        r = found["op4_sharding"][i]
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+        r = found["op6_line_dedup"][i]
+        gone = {int(x) for x in r.removed_lines.split(",") if x}
+        assert (r.n_lines, r.n_removed) == (len(t.split("\n")), len(gone)) and r.kept_crc32 == zlib.crc32("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone).encode())
+        assert found["op1_quality_rules"][i].n_words == len(words(t)) and found["op3_simhash"][i].fingerprint == f"{simhash(t):016x}"
+        for k, bar in (("op2_quality_model", 0.3), ("op9_toxicity", 0.5)):
+            r = found[k][i]
+            assert 0 <= r.score <= 1 and r.predicted == (r.score >= bar) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+@pytest.mark.parametrize("step", range(5))
+def test_odd_rows_through_the_stages(spark, odd_docs, step):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[step]
+    got = stage(spark, odd_docs, SF)
+    rows = got.collect()
+    if step < 4:
+        assert got.columns == odd_docs.columns
+        kept = sorted(str(r.doc_id) for r in rows)
+        every = sorted(str(r.doc_id) for r in odd_docs.collect())
+        assert kept == {0: [], 1: every, 2: ["1", "3", "5", "6", "7"], 3: every}.get(step, kept) or step == 0
+    else:
+        assert {r.doc_id for r in rows} == {r.doc_id for r in odd_docs.collect()}
+    assert stage(spark, odd_docs.limit(0), SF).count() == 0
+
+
+def test_tables_merge_by_levels(spark, monkeypatch):
+    from marlstone.llm import tables
+
+    monkeypatch.setattr(tables, "FAN", 2)
+
+    def count(found, batch):
+        np.add.at(found["n"][:, 0], batch.column(0).to_numpy(), 1)
+
+    got = tables.gather(spark.range(9000).selectExpr("id % 9000 as id").repartition(7), {"n": tables.Spec((9000, 1))}, count)["n"]
+    assert got.shape == (9000, 1) and (got == 1).all()
+
+
 def test_queries_and_sql_name_the_same(spark):
     from marlstone.llm import queries
 
