@@ -6,7 +6,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,12 +88,11 @@ def continuations(words: DataFrame) -> DataFrame:
     """
     length = F.least(F.length("word"), F.lit(DEPTH))
     at = F.transform(F.sequence(F.lit(0), length), lambda k: F.struct(F.when(k < 4, F.concat(F.lit("^"), F.substring("word", F.lit(1), k))).otherwise(F.substring("word", k - 3, F.lit(4))).alias("c"), F.when(k < length, F.substring("word", k + 1, F.lit(1))).otherwise(F.concat(F.lit("$"), F.substring("word", F.lit(DEPTH + 1), F.length("word")))).alias("a")))
-    level = words.select(F.explode_outer(at).alias("x")).select("x.*").distinct()
-    level, _ = materialize(level, "toxicity-pairs")
+    level, _ = materialize(words.select(F.explode_outer(at).alias("x")).select("x.*").distinct(), "toxicity-pairs")
     found = None
     for n in range(3, -1, -1):
         whole = F.length("c") == n + 1  # a context of one letter more, or a word's beginning of n letters
-        counts = level.filter(whole).groupBy(F.expr(f"right(c, {n})").alias("g"), "a").agg(F.count("*").alias("n"))
+        counts, _ = materialize(level.filter(whole).groupBy(F.expr(f"right(c, {n})").alias("g"), "a").agg(F.count("*").alias("n")), "toxicity-continuations")
         found = counts if found is None else found.unionByName(counts)
         level = level.filter(~whole).unionByName(counts.select(F.col("g").alias("c"), "a"))
     return found
@@ -132,68 +130,67 @@ def class_tables(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every.filter(tells).drop("d"), contexts
 
 
-def known_steps(words: DataFrame, sample: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, dict[str, float]]:
-    """The class tables, and P(a | g) of all texts by ``g + a`` for their steps; ``g`` are the last three letters before ``a``.
+def shared_model(counts: DataFrame) -> DataFrame:
+    """``(g, a, p)``: P(a | g) of all texts for ``g`` of 0 to 3 letters: interpolated Kneser-Ney over the counts of ``continuations``."""
+    sums = counts.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    counts, _ = materialize(counts.join(sums, "g"), "toxicity-counts")
+    p = lambda lower: ((F.col("n") - SHARED_DISCOUNT + SHARED_DISCOUNT * F.col("kinds") * lower) / F.col("total")).alias("p")
+    level = counts.filter("g = ''").select("g", "a", p(1 / (F.col("kinds") + 1)))
+    found = level
+    for n in range(1, 4):
+        here = counts.filter(F.length("g") == n).withColumn("below", F.expr(f"right(g, {n - 1})"))
+        level, _ = materialize(here.join(level.select(F.col("g").alias("below"), "a", F.col("p").alias("lower")), ["below", "a"]).select("g", "a", p(F.col("lower"))), "toxicity-shared")
+        found = found.unionByName(level)
+    return found
+
+
+def class_models(steps_: DataFrame, contexts: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(context, a, *P)`` and ``(context, *left)`` per class count: P(a | context), and what a context leaves to the next shorter one.
 
-    P is interpolated Kneser-Ney over the continuation counts of all texts.  Other steps need none: both models
-    leave them to P, which cancels in the ratio.  The tables have the size of the bounded sample.
+    Interpolated Kneser-Ney: each count gives up ``DISCOUNT`` (a continuation count ``LOWER_DISCOUNT``), and what a
+    context's followers give up goes to them by the next shorter context; the last one goes to all texts.  A step that the tables
+    do not hold has no count left: its P is what its context leaves times P by the next shorter one.
+    """
+    names = list(_CLASSES)
+    lefts, _ = materialize(contexts.select("context", *(f"t_{c}" for c in names), *(F.when(F.col(f"t_{c}") > 0, F.col(f"g_{c}") / F.col(f"t_{c}")).otherwise(1.0).alias(f"l_{c}") for c in names)), "toxicity-lefts")
+    plain = F.expr("replace(context, '^', '')")
+    rows = steps_.join(lefts, "context").withColumn("plain", plain).withColumn("g", F.expr("right(plain, 3)")).join(shared, ["g", "a"], "left")
+    rows = rows.select("context", "a", "plain", *names, *lefts.columns[1:], *(F.coalesce("p", F.lit(1e-12)).alias(f"p_{c}") for c in names))
+    rows, _ = materialize(rows, "toxicity-rows")
+    found, done = None, []
+    for n in [*sorted(SHORTER), 0]:
+        first = F.col("context").startswith("^")
+        here = rows.filter(~first & (F.length("context") == n)) if n else rows.filter(first)
+        for size, known in done:  # P by ever longer contexts, as far as the letters before ``a`` go
+            here = here.withColumn("k", F.when(F.length("plain") >= size, F.expr(f"right(plain, {size})")))
+            here = here.join(known.select(F.col("context").alias("k"), "a", *(F.col(f"p_{c}").alias(f"q_{c}") for c in names)), ["k", "a"], "left")
+            here = here.join(lefts.select(F.col("context").alias("k"), *(F.col(f"l_{c}").alias(f"m_{c}") for c in names)), "k", "left")
+            lower = [F.coalesce(f"q_{c}", F.coalesce(f"m_{c}", F.lit(1.0)) * F.col(f"p_{c}")).alias(f"p_{c}") for c in names]
+            here = here.select("context", "a", "plain", *names, *lefts.columns[1:], *lower)
+        kept = lambda c: F.when(F.col(f"t_{c}") > 0, F.greatest(F.col(c) - (LOWER_DISCOUNT if n else DISCOUNT), F.lit(0.0)) / F.col(f"t_{c}")).otherwise(0.0)  # noqa: B023, E731
+        here, _ = materialize(here.select("context", "a", *((kept(c) + F.col(f"l_{c}") * F.col(f"p_{c}")).alias(f"p_{c}") for c in names)), "toxicity-class")
+        found = here if found is None else found.unionByName(here)
+        done.append((n, here))
+    return found, lefts
+
+
+def log_ratios(words: DataFrame, sample: DataFrame) -> dict[str, tuple[pa.Table, pa.Table]]:
+    """Per pair of classes (``a``: all labelled texts, ``b``: those outside fold 1) the two tables that give a word's ratio.
+
+    ``(key, r)``: log P(a | context, toxic) - log P(a | context, ordinary) by ``context + a`` where a class has met it, and what is added on
+    the way from a context to a shorter one.  Both have the size of the bounded sample; all else was counted and joined by key.
     """
     steps_, contexts = class_tables(sample)
     steps_, _ = materialize(steps_, "toxicity-steps-kept")
-    counts, _ = materialize(continuations(words), "toxicity-continuations")
-    asked = steps_.select(F.explode(F.array(*(F.struct(F.expr(f"right(replace(context, '^', ''), {n})").alias("g"), "a") for n in range(4)))).alias("x")).select("x.*").distinct()
-    sums = counts.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    told = counts.join(asked, ["g", "a"]).join(sums, "g").toPandas()
-    p: dict[str, float] = {}
-    for g, a, n, total, kinds in sorted(told.itertuples(index=False, name=None), key=lambda r: len(r[0])):
-        lower = p[g[1:] + a] if g else 1 / (kinds + 1)
-        p[g + a] = (n - SHARED_DISCOUNT + SHARED_DISCOUNT * kinds * lower) / total
-    return steps_.toPandas(), contexts.toPandas(), p
-
-
-def _levels(contexts: pd.Series) -> list[np.ndarray]:
-    """Positions of the contexts of each kind, shortest first; the words' beginnings come last."""
-    first, size = contexts.str[:1] == "^", contexts.str.len()
-    return [np.nonzero(~first & (size == n))[0] for n in sorted(SHORTER)] + [np.nonzero(first)[0]]
-
-
-def _class_model(known: tuple[pd.DataFrame, pd.DataFrame, dict[str, float]], c: str) -> tuple[np.ndarray, np.ndarray]:
-    """P(a | context) of the steps, and what each context leaves to the next shorter one, in the order of the tables of ``known``."""
-    steps_, contexts, shared = known
-    total, given = contexts[f"t_{c}"].to_numpy(float), contexts[f"g_{c}"].to_numpy(float)
-    left = np.where(total > 0, given / np.maximum(total, 1), 1.0)
-    row = pd.Series(np.arange(len(contexts)), index=contexts["context"])
-    own = row.reindex(steps_["context"]).to_numpy()
-    kept = np.maximum(steps_[c].to_numpy(float) - np.where(steps_["context"].str[:1] == "^", DISCOUNT, LOWER_DISCOUNT), 0) / np.maximum(total[own], 1)
-    plain, a = steps_["context"].str.replace("^", "", regex=False), steps_["a"]
-    p = np.zeros(len(steps_))
-    lower = (plain.str[-3:] + a).map(shared).to_numpy(float)  # P of all texts, then of ever longer contexts
-    done: list[tuple[int, pd.Series]] = []
-    for at, n in zip(_levels(steps_["context"]), [*sorted(SHORTER), 0], strict=True):
-        below = lower[at]
-        for size, found in done:  # the next shorter context, as far as the letters before ``a`` go
-            long_enough = (plain.iloc[at].str.len() >= size).to_numpy()
-            context = plain.iloc[at].str[-size:]
-            weight = row.reindex(context).to_numpy()
-            passed = np.where(np.isnan(weight), 1.0, left[np.nan_to_num(weight).astype(int)]) if len(left) else np.ones(len(at))
-            here = found.reindex(context + a.iloc[at]).to_numpy()
-            below = np.where(long_enough, np.where(np.isnan(here), passed * below, here), below)
-        p[at] = kept[at] + left[own[at]] * below
-        if n:
-            done.append((n, pd.Series(p[at], index=steps_["context"].iloc[at] + a.iloc[at])))
-    return p, left
-
-
-def log_ratios(known: tuple[pd.DataFrame, pd.DataFrame, dict[str, float]], classes: tuple[str, str]) -> tuple[dict[str, float], dict[str, float]]:
-    """log P(a | context, toxic) - log P(a | context, ordinary) by ``context + a`` where a class has met it, and by context what is added on the way to a shorter one.
+    p, lefts = class_models(steps_, contexts, shared_model(continuations(words)))
+    ratio = lambda one, two: F.log(F.greatest(F.col(one), F.lit(1e-300)) / F.greatest(F.col(two), F.lit(1e-300)))
+    told = p.select(F.concat("context", "a").alias("key"), *(ratio(f"p_{c}1", f"p_{c}0").alias(c) for c in "ab")).toArrow()
+    passed = lefts.select(F.col("context").alias("key"), *(ratio(f"l_{c}1", f"l_{c}0").alias(c) for c in "ab")).toArrow()
+    return {c: tuple(t.select(["key", c]).rename_columns(["key", "r"]) for t in (told, passed)) for c in "ab"}
 
-    Interpolated Kneser-Ney: each count gives up ``DISCOUNT`` (a continuation count ``LOWER_DISCOUNT``), and what a
-    context's followers give up goes to them by the next shorter context; the last one goes to all texts.
-    """
-    (p0, left0), (p1, left1) = (_class_model(known, c) for c in classes)
-    steps_, contexts, _ = known
-    told, passed = np.log(p1 / p0), np.log(np.maximum(left1, 1e-300) / np.maximum(left0, 1e-300))
-    return dict(zip(steps_["context"] + steps_["a"], told.tolist(), strict=True)), {x: r for x, r in zip(contexts["context"], passed.tolist(), strict=True) if r}
+
+def looked_up(model: tuple[pa.Table, pa.Table]) -> tuple[dict[str, float], dict[str, float]]:
+    return tuple(dict(zip(t.column("key").to_pylist(), t.column("r").to_pylist(), strict=True)) for t in model)
 
 
 def _word_ratio(word: str, known: dict[str, float], passing: dict[str, float]) -> float:
@@ -255,24 +252,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, text, id_col, most_rows, balanced=True)
-    known = known_steps(corpus_words(docs, text), sample)
+    models = log_ratios(corpus_words(docs, text), sample)
 
-    def measure(rows: DataFrame, model: tuple[dict[str, float], dict[str, float]]) -> DataFrame:
+    def measure(rows: DataFrame, model: tuple[pa.Table, pa.Table]) -> DataFrame:
         """``(key, x)`` of ``rows(key, text)``."""
         held = spark.sparkContext.broadcast(model)
 
         def run(batches):
             memo: dict[str, float] = {}
+            ratios = looked_up(held.value)
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_normalised(texts_of(b.column(1)), held.value, memo, margin))], names=["key", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_normalised(texts_of(b.column(1)), ratios, memo, margin))], names=["key", "x"])
 
         return rows.mapInArrow(run, "key long, x double")
 
     unseen = sample.filter("fold = 1").select(F.col("y").cast("long").alias("key"), "text")
-    seen = measure(unseen, log_ratios(known, ("b0", "b1"))).toPandas()
+    seen = measure(unseen, models["b"]).toPandas()
     x, y = np.log(seen[["x"]].to_numpy() + 1e-3), seen["key"].to_numpy().astype(float)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    scores = measure(rows, log_ratios(known, ("a0", "a1")))
+    scores = measure(rows, models["a"])
     if len(set(y)) < 2:
         z = F.lit(-30.0)
     else:

@@ -336,7 +336,7 @@ def test_toxicity_backs_off_by_continuation_counts(spark):
     rows = [(i, " ".join(part() + ("nasty" if i % 2 and k % 3 == 0 else "") + part() for k in range(20)), i % 2, 1 + i % 4) for i in range(60)]
     sample = spark.createDataFrame(rows, "doc_id long, text string, y int, fold long")
     docs = spark.createDataFrame([(t,) for _, t, _, _ in rows] + [("abcdefg nastier other words",)], "text string")
-    model = T.log_ratios(T.known_steps(T.corpus_words(docs), sample), ("a0", "a1"))
+    model = T.looked_up(T.log_ratios(T.corpus_words(docs), sample)["a"])
 
     def counts(texts):
         """n by (context, a), for beginnings and the letters before, each from the different longer contexts."""
