@@ -81,15 +81,18 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def sized(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
-    """The table ``df``, as ``materialize`` wrote it, marked for broadcast if its files hold at most ``most_bytes``; else joins on it go by key."""
-    spark = df.sparkSession
+def written_bytes(df: DataFrame) -> int:
+    """The size of the table ``df``, as ``materialize`` wrote it."""
     files = df.inputFiles()
-    if files:
-        fs, p = _fs_path(spark, files[0])
-        if fs.getContentSummary(p.getParent()).getLength() > most_bytes:
-            return df
-    return F.broadcast(df)
+    if not files:
+        return 0
+    fs, p = _fs_path(df.sparkSession, files[0])
+    return fs.getContentSummary(p.getParent()).getLength()
+
+
+def sized(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """The written table ``df``, marked for broadcast if its files hold at most ``most_bytes``; else joins on it go by key."""
+    return F.broadcast(df) if written_bytes(df) <= most_bytes else df
 
 
 def as_row(df: DataFrame) -> DataFrame:

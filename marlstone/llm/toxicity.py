@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fold_of, materialize, steps, texts_of
+from marlstone.llm.common import fold_of, materialize, texts_of, written_bytes
 from marlstone.llm.tables import labelled_sample
 
 #: Letters from a word's start that are nodes of their own; the whole word is the last node.
@@ -22,7 +22,7 @@ LOWER_DISCOUNT, SHARED_DISCOUNT = 1.0, 0.75
 #: Letters of the contexts tried after a word's whole beginning.
 SHORTER = (4, 3)
 #: Different words that a task counts in memory before it sends them on.
-HELD_WORDS = 200_000
+HELD_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,11 +39,12 @@ def _counted(rows: DataFrame, by: list[str], parts_of, names: list[str]) -> Data
     corpus and no task or driver holds it whole.
     """
 
-    def sums(counts: Counter):
+    def sums(counts: dict[tuple, Counter]):
         found: Counter = Counter()
-        for (word, *key), n in counts.items():
-            for part in parts_of(word):
-                found[(*key, *part)] += n
+        for key, words in counts.items():
+            for word, n in words.items():
+                for part in parts_of(word):
+                    found[(*key, *part)] += n
         items = list(found)
         for i in range(0, len(items), 1 << 16):
             part = items[i : i + (1 << 16)]
@@ -51,14 +52,14 @@ def _counted(rows: DataFrame, by: list[str], parts_of, names: list[str]) -> Data
             yield pa.RecordBatch.from_arrays([*cols, pa.array([found[x] for x in part], pa.int64())], names=[*by, *names, "n"])
 
     def run(batches):
-        counts: Counter = Counter()
+        counts: dict[tuple, Counter] = {}
         for b in batches:
             texts, keys = texts_of(b.column(0)), list(zip(*(b.column(i + 1).to_pylist() for i in range(len(by))), strict=True)) or [()] * b.num_rows
             for t, key in zip(texts, keys, strict=True):
-                counts.update(((w, *key) for w in _WORD.findall(t.lower())))
-                if len(counts) > HELD_WORDS:
+                counts.setdefault(key, Counter()).update(_WORD.findall(t.lower()))
+                if sum(map(len, counts.values())) > HELD_WORDS:
                     yield from sums(counts)
-                    counts = Counter()
+                    counts = {}
         yield from sums(counts)
 
     parts = rows.select("text", *by).mapInArrow(run, "".join(f"{c} int, " for c in by) + "".join(f"{c} string, " for c in names) + "n long")
@@ -206,19 +207,53 @@ def _word_ratio(word: str, known: dict[str, float], passing: dict[str, float]) -
     return total
 
 
-def _normalised(texts: list[str], model: tuple[dict[str, float], dict[str, float]], memo: dict[str, float], margin: float) -> np.ndarray:
-    """Per text the log ratios of its words, each less ``margin`` and not below 0, by the number of its words."""
-    out = np.zeros(len(texts))
-    for lo, hi in steps(texts):
-        for i in range(lo, hi):
-            if len(memo) > HELD_WORDS:
-                memo.clear()
-            words = _WORD.findall(texts[i].lower())
-            for w in set(words).difference(memo):
-                memo[w] = max(_word_ratio(w, *model) - margin, 0.0)
-            if words:
-                out[i] = sum(map(memo.__getitem__, words)) / len(words)
-    return out
+def telling(words: DataFrame, model: tuple[pa.Table, pa.Table], margin: float) -> DataFrame:
+    """``(word, excess)`` of those ``words(word)`` whose log ratio exceeds ``margin``: each different word is rated once, however often it comes."""
+    held = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        ratios = looked_up(held.value)
+        for b in batches:
+            every = b.column(0).to_pylist()
+            excess = [_word_ratio(w, *ratios) - margin for w in every]
+            kept = [(w, x) for w, x in zip(every, excess, strict=True) if x > 0]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([x for _, x in kept], pa.float64())], names=["word", "excess"])
+
+    return materialize(words.select("word").mapInArrow(run, "word string, excess double"), "toxicity-telling")[0]
+
+
+def normalised(rows: DataFrame, words: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """``(key, x)`` for every row of ``rows(key, text)``: the excess of its words, which ``words(word, excess)`` hold where it is not 0, by the number of its words.
+
+    That table grows with the corpus.  If it is measured to be small it is broadcast; beyond that a text's different words meet it by key.
+    """
+    if written_bytes(words) <= most_bytes:
+        held = rows.sparkSession.sparkContext.broadcast(words.toArrow())
+
+        def run(batches):
+            excess = dict(zip(held.value.column("word").to_pylist(), held.value.column("excess").to_pylist(), strict=True))
+            for b in batches:
+                out = np.zeros(b.num_rows)
+                for i, t in enumerate(texts_of(b.column(1))):
+                    found = _WORD.findall(t.lower())
+                    if found:
+                        out[i] = sum(excess[w] for w in found if w in excess) / len(found)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["key", "x"])
+
+        return rows.mapInArrow(run, "key long, x double")
+
+    def split(batches):
+        for b in batches:
+            for at, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
+                found = Counter(_WORD.findall(t.lower()))
+                size = max(1, found.total())
+                share = [("", 0.0), *((w, n / size) for w, n in found.items())]  # the empty word keeps texts without words
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(share), pa.int64()), pa.array([key] * len(share), pa.int64()), pa.array([w for w, _ in share]), pa.array([x for _, x in share])], names=["at", "key", "word", "share"])
+
+    marked, _ = materialize(rows.select(F.monotonically_increasing_id().alias("at"), "key", "text"), "toxicity-texts")
+    shares = marked.mapInArrow(split, "at long, key long, word string, share double")
+    met = shares.join(words, "word", "left").groupBy("at", "key").agg(F.sum(F.col("share") * F.coalesce("excess", F.lit(0.0))).alias("x"))
+    return met.select("key", "x")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -252,25 +287,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, text, id_col, most_rows, balanced=True)
-    models = log_ratios(corpus_words(docs, text), sample)
-
-    def measure(rows: DataFrame, model: tuple[pa.Table, pa.Table]) -> DataFrame:
-        """``(key, x)`` of ``rows(key, text)``."""
-        held = spark.sparkContext.broadcast(model)
-
-        def run(batches):
-            memo: dict[str, float] = {}
-            ratios = looked_up(held.value)
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_normalised(texts_of(b.column(1)), ratios, memo, margin))], names=["key", "x"])
-
-        return rows.mapInArrow(run, "key long, x double")
-
+    words = corpus_words(docs, text)
+    models = log_ratios(words, sample)
     unseen = sample.filter("fold = 1").select(F.col("y").cast("long").alias("key"), "text")
-    seen = measure(unseen, models["b"]).toPandas()
+    own, _ = materialize(_counted(unseen, [], lambda w: [(w,)], ["word"]), "toxicity-unseen")
+    seen = normalised(unseen, telling(own, models["b"], margin)).toPandas()
     x, y = np.log(seen[["x"]].to_numpy() + 1e-3), seen["key"].to_numpy().astype(float)
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    scores = measure(rows, models["a"])
+    scores = normalised(rows, telling(words, models["a"], margin))
     if len(set(y)) < 2:
         z = F.lit(-30.0)
     else:

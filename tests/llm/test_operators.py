@@ -372,6 +372,18 @@ def test_toxicity_backs_off_by_continuation_counts(spark):
     assert T._word_ratio("zznastyq", *model) > 1  # no labelled word begins so: by beginnings alone nothing would tell
 
 
+def test_normalised_ratios_by_broadcast_and_by_key(spark):
+    from marlstone.llm import toxicity as T
+    from marlstone.llm.common import materialize
+
+    words, _ = materialize(spark.createDataFrame([("bad", 6.0), ("worse", 9.0)], "word string, excess double"), "telling")
+    rows = spark.createDataFrame([(1, "Bad, a worse bad."), (1, "fine"), (2, None), (None, "bad"), (3, ""), (3, "bad " * 5000 + "x " * 5000)], "key long, text string")
+    want = sorted([("1", 21 / 4), ("1", 0.0), ("2", 0.0), ("None", 6.0), ("3", 0.0), ("3", 3.0)])
+    for most in (1 << 20, -1):
+        got = sorted((str(r.key), r.x) for r in T.normalised(rows, words, most).collect())
+        assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+
+
 def test_decontamination_in_parts_and_whole(spark, docs, odd_docs):
     from marlstone.llm.decontam import decontaminate
 
