@@ -28,27 +28,34 @@ def duration_histogram(samples: DataFrame, value: str) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def bottleneck(shed: Column, late: Column, p99: Column, feature: Column, queue: Column, score: Column) -> Column:
-    """The first rule that holds names the bottleneck."""
+def bottleneck(shed: Column, late: Column, p99: Column, feature: Column, queue: Column, score: Column, ipc: Column | None = None, misses: Column | None = None) -> Column:
+    """The first rule that holds names the bottleneck; without counters (``ipc`` null or 0) the cache rule does not hold."""
+    ipc, misses = (F.lit(0.0) if c is None else c for c in (ipc, misses))
     return (
         F.when((shed > 0.05) | (late > 0.10), "overload")
-        .when(feature > 0.5 * p99, "feature_store_wait")
-        .when(queue > 0.5 * p99, "queueing")
+        .when((feature > score) & (feature > 0.4 * p99), "feature_store_wait")
+        .when((queue > score) & (queue > 0.4 * p99), "queueing")
+        .when((ipc > 0) & (ipc < 0.8) & (misses > 20), "cache_miss_likely")
         .when(score > 0.5 * p99, "cpu_bound_scoring")
         .otherwise("unknown")
     )
 
 
 def regression_verdict(base: DataFrame, candidate: DataFrame, most_ratio: float = 1.25, most_drop: float = 0.01) -> DataFrame:
-    """One row: medians of p99, mean recall, their change, and whether the candidate passes."""
-    sums = lambda d, n: d.agg(F.median("p99").alias(f"{n}_p99"), F.avg("recall").alias(f"{n}_recall"), F.count("*").alias(f"{n}_n"))
+    """One row from ``(p99, recall, qps)`` of both sides: medians of p99, mean recall, their change, and whether the candidate passes.
+
+    A side without rows, or with any row that is null, not finite, not positive (p99, qps) or outside 0 to 1 (recall), fails.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    sound = finite("p99") & finite("recall") & finite("qps") & (F.col("p99") > 0) & (F.col("qps") > 0) & F.col("recall").between(0, 1)
+    sums = lambda d, n: d.agg(F.median("p99").alias(f"{n}_p99"), F.avg("recall").alias(f"{n}_recall"), F.bool_and(F.coalesce(sound, F.lit(False))).alias(f"{n}_sound"))
     both = sums(base, "base").withColumn("one", F.lit(1)).join(sums(candidate, "cand").withColumn("one", F.lit(1)), "one").drop("one")
     both = both.withColumn("ratio", F.try_divide("cand_p99", "base_p99")).withColumn("drop", F.col("base_recall") - F.col("cand_recall"))
-    ok = (F.col("base_n") > 0) & (F.col("cand_n") > 0) & (F.col("ratio") > 0) & (F.col("ratio") <= most_ratio) & (F.col("drop") <= most_drop)
+    ok = F.col("base_sound") & F.col("cand_sound") & (F.col("ratio") <= most_ratio) & (F.col("drop") <= most_drop)
     return both.select(*(F.round(c, 6).alias(c) for c in ("base_p99", "cand_p99", "ratio", "drop")), F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
-def capacity(kernels: DataFrame, instances: DataFrame, qps: float, items: float, replicas: int, headroom: float) -> DataFrame:
+def capacity(kernels: DataFrame, instances: DataFrame, qps: float, items: float, replicas: int, headroom: float, usable: float = 0.8) -> DataFrame:
     """Hosts and cost of every kernel on every instance type: both are short price lists.
 
     ``kernels(kernel, qps_per_core, bytes_per_item)``, ``instances(instance, vcpu, mem_gib, usd_per_hour)``.
@@ -56,10 +63,10 @@ def capacity(kernels: DataFrame, instances: DataFrame, qps: float, items: float,
     k, i = kernels.withColumn("one", F.lit(1)), instances.withColumn("one", F.lit(1))
     met = k.join(i, "one").drop("one")
     compute = F.ceil(qps / (F.col("qps_per_core") * F.col("vcpu") * headroom))
-    memory = F.ceil(items * F.col("bytes_per_item") * replicas / (F.col("mem_gib") * F.lit(2.0**30) * 0.8))
+    memory = F.ceil(items * F.col("bytes_per_item") * replicas / (F.col("mem_gib") * F.lit(2.0**30) * usable))
     met = met.withColumn("compute_hosts", compute.cast("long")).withColumn("memory_hosts", memory.cast("long"))
-    met = met.withColumn("hosts", F.greatest("compute_hosts", "memory_hosts", F.lit(replicas).cast("long")))
-    bound = F.when(F.col("hosts") == F.col("compute_hosts"), "compute").when(F.col("hosts") == F.col("memory_hosts"), "memory").otherwise("replicas")
+    met = met.withColumn("hosts", F.greatest("compute_hosts", "memory_hosts"))
+    bound = F.when(F.col("memory_hosts") > F.col("compute_hosts"), "memory").otherwise("compute")
     hourly = F.col("hosts") * F.col("usd_per_hour")
     return met.select("kernel", "instance", "compute_hosts", "memory_hosts", "hosts", bound.alias("bound_by"), F.round(hourly, 6).alias("usd_per_hour"), F.round(hourly / (qps * 3600) * 1e6, 9).alias("usd_per_million"))
 
