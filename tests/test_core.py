@@ -139,6 +139,189 @@ def test_popular_lists_go_on_past_their_first_part(spark):
     features = spark.createDataFrame([], "item_id long, shown long, saved long")
     popular = spark.createDataFrame([(i, i + 1) for i in range(30)], "item_id long, pop int")
     got = {}
-    for r in selected(cand, blocked, features, popular, 4, depth=8).orderBy("query_id", "rank").collect():
+    for r in selected(cand, blocked, features, popular, 4, 30, depth=8).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.item_id)
     assert got == {1: [26, 25, 27, 28], 3: [7, 0, 1, 2]}
+
+
+def test_a_user_who_has_had_almost_all(spark):
+    from marlstone.operators.evaluation import popular_unseen
+
+    t = spark.createDataFrame([(1, i) for i in range(590)] + [(2, i) for i in range(600)], "user long, item long")
+    got = popular_unseen(spark.createDataFrame([(1,)], "user long"), t, 10).collect()
+    assert sorted(r["item"] for r in got) == list(range(590, 600))
+
+
+def test_fills_score_below_all_candidates_and_take_part_in_the_order(spark):
+    from marlstone.operators.journal import selected
+
+    cand = spark.createDataFrame([(1, 7, 0.5, 1), (1, 8, 0.2, 2)], "query_id long, item_id long, score double, rank int")
+    blocked = spark.createDataFrame([(1, 8)], "query_id long, item_id long")
+    features = spark.createDataFrame([(3, 2, 8)], "item_id long, shown long, saved long")
+    popular = spark.createDataFrame([(8, 1), (2, 2), (3, 3), (7, 4)], "item_id long, pop int")
+    got = [(r.item_id, r.score, r.candidate_source) for r in selected(cand, blocked, features, popular, 3, 100).orderBy("rank").collect()]
+    # least is that of item 8, which is blocked: 0.2; item 3 gains 0.05 * 8 / 4
+    assert got == [(7, 0.5, "retrieval"), (3, round(0.2 - 1 - 2 / 100 + 0.1, 6), "popular"), (2, round(0.2 - 1 - 1 / 100, 6), "popular")]
+
+
+def _applied(rows, issued=None):
+    """One row after the other, as a store would take them."""
+    taken, out = [], {}
+    for r in sorted(rows):
+        seq, e, u, i, k, t, q = r
+        old = next((x for x in taken if x[1] == e), None)
+        if k not in ("shown", "save", "dismiss", "watched"):
+            out[seq] = "unknown_kind"
+        elif old:
+            out[seq] = "duplicate" if old[1:] == r[1:] else "conflict"
+        elif issued is not None and (q, i) not in issued:
+            out[seq] = "not_issued"
+        elif issued is not None and issued[q, i][0] != u:
+            out[seq] = "not_issued"
+        elif issued is not None and t < issued[q, i][1] - 30_000:
+            out[seq] = "too_early"
+        elif k != "shown" and not any(x[6] == q and x[3] == i and x[4] == "shown" for x in taken):
+            out[seq] = "not_shown"
+        elif any((x[6], x[3], x[4]) == (q, i, k) for x in taken):
+            out[seq] = "conflict"
+        else:
+            out[seq] = "accepted"
+            taken.append(r)
+    return out
+
+
+def test_journal_is_applied_row_by_row(spark):
+    import random
+
+    from marlstone.operators import journal
+
+    rng = random.Random(5)
+    rows = [(s, rng.randrange(60), rng.randrange(3), rng.randrange(3), rng.choice(["shown", "shown", "save", "dismiss", "watched", "other"]), 1_000_000 + rng.choice([0, 0, 5, -40_000]), rng.randrange(4)) for s in range(300)]
+    cols = "seq long, event_id long, user_id long, item_id long, kind string, event_time_ms long, request_id long"
+    events = spark.createDataFrame(rows, cols)
+    got = {r.seq: r.status for r in journal.accepted(events).collect()}
+    assert got == _applied(rows) and {"accepted", "duplicate", "conflict", "not_shown", "unknown_kind"} <= set(got.values())
+    impressions = spark.createDataFrame([(q, q % 3, 1_000_000) for q in range(4)], "request_id long, user_id long, created_ms long")
+    shown = journal.exposures(spark.createDataFrame([(q, [0, 1]) for q in range(4)], "request_id long, items array<long>"))
+    got = {r.seq: r.status for r in journal.accepted(events, impressions, shown).collect()}
+    assert got == _applied(rows, {(q, i): (q % 3, 1_000_000) for q in range(4) for i in (0, 1)}) and {"too_early", "not_issued"} <= set(got.values())
+    # what was accepted gives the same projection when it is applied again
+    once = journal.accepted(events).filter("status = 'accepted'")
+    again = journal.accepted(once.drop("status"))
+    assert sorted(map(tuple, journal.projection(once.withColumn("status", once.status)).collect())) == sorted(map(tuple, journal.projection(again).collect()))
+    # a rejected row claims nothing
+    few = [(1, 1, 0, 0, "shown", 1, 9), (2, 1, 0, 0, "save", 1, 9), (3, 2, 0, 0, "save", 1, 9)]
+    assert {r.seq: r.status for r in journal.accepted(spark.createDataFrame(few, cols)).collect()} == {1: "accepted", 2: "conflict", 3: "accepted"}
+    old = spark.createDataFrame([(1, 1, 0, 0, "shown", 10**9, 9, 10**9 + 86_400_001), (2, 2, 0, 0, "shown", 10**9, 9, 10**9)], cols + ", received_ms long")
+    assert [r.status for r in journal.accepted(old).orderBy("seq").collect()] == ["expired", "accepted"]
+
+
+def test_requests_under_one_id(spark):
+    from marlstone.operators.journal import replayed
+
+    got = replayed(spark.createDataFrame([(1, "a", 7, 10), (2, "a", 7, 10), (3, "a", 7, 11), (4, "b", 7, 10)], "seq long, request_id string, user_id long, k int")).orderBy("seq").collect()
+    assert [r.status for r in got] == ["computed", "stored", "conflict", "computed"]
+
+
+def test_sessions_and_maintenance(spark):
+    from marlstone.operators.journal import DAY_MS, maintained, valid_sessions
+
+    now = 100 * DAY_MS
+    s = spark.createDataFrame([(1, now - DAY_MS, now - 5), (1, now - 8 * DAY_MS, now - 5), (1, now - DAY_MS, now - 2 * DAY_MS), (2, now - DAY_MS, now - 5), (3, now - DAY_MS, now - 5)], "user_id long, created_ms long, seen_ms long")
+    users = spark.createDataFrame([(1, False), (2, True)], "user_id long, disabled boolean")
+    assert [tuple(r) for r in valid_sessions(s, users, now).collect()] == [(1, now - DAY_MS, now - 5)]
+    out = spark.createDataFrame([(now - 9 * DAY_MS, None), (now - 9 * DAY_MS, 5), (now - 7 * DAY_MS, 5)], "created_ms long, delivered_ms long")
+    win = spark.createDataFrame([(now // 60_000 - k,) for k in range(5)], "window long")
+    left = maintained({"sessions": s, "outbox": out, "rate_limits": win, "other": users}, now)
+    assert left["sessions"].count() == 3 and left["outbox"].count() == 2 and left["rate_limits"].count() == 3 and left["other"].count() == 2
+
+
+@pytest.mark.parametrize("given, want", [((0.06, 0, 100, 1, 1, 1), "overload"), ((0, 0, 1000, 450, 0, 100), "feature_store_wait"), ((0, 0, 1000, 0, 450, 100), "queueing"), ((0, 0, 1000, 600, 0, 700), "cpu_bound_scoring"), ((0, 0, 1000, 10, 10, 10), "unknown")])
+def test_bottlenecks(spark, given, want):
+    from pyspark.sql import functions as F
+
+    from marlstone.operators.operations import bottleneck
+
+    assert spark.range(1).select(bottleneck(*(F.lit(float(x)) for x in given)).alias("b")).first().b == want
+    if want == "unknown":
+        assert spark.range(1).select(bottleneck(*(F.lit(float(x)) for x in given), F.lit(0.5), F.lit(30.0)).alias("b")).first().b == "cache_miss_likely"
+
+
+def test_unsound_measurements_never_pass(spark):
+    from marlstone.operators.operations import regression_verdict
+
+    side = lambda *rows: spark.createDataFrame(rows, "p99 double, recall double, qps double")
+    good = side((100.0, 0.99, 5.0), (110.0, 0.99, 5.0), (90.0, 0.99, 5.0))
+    assert regression_verdict(good, good).first().passed
+    for bad in ((None, 0.99, 5.0), (float("nan"), 0.99, 5.0), (0.0, 0.99, 5.0), (-5.0, 0.99, 5.0), (100.0, 1.5, 5.0), (100.0, 0.99, 0.0), (100.0, 0.99, float("inf"))):
+        assert not regression_verdict(good, good.unionByName(side(bad))).first().passed, bad
+    assert not regression_verdict(good, good.limit(0)).first().passed
+    assert not regression_verdict(good, side((130.0, 0.99, 5.0))).first().passed and not regression_verdict(good, side((100.0, 0.9, 5.0))).first().passed
+
+
+def test_percentiles_by_counts(spark):
+    import numpy as np
+
+    from marlstone.operators.campaigns import percentile_of
+
+    x = np.random.default_rng(2).lognormal(3, 1, 3000).round(2)
+    rows = [(i % 3, float(v)) for i, v in enumerate(x)] + [(7, 5.0)] * 10 + [(8, 1.0), (8, None)]
+    for q in (0.5, 0.99, 0.0, 1.0):
+        got = {r.g: (r.n, r.p) for r in percentile_of(spark.createDataFrame(rows, "g long, v double"), q).collect()}
+        for g in (0, 1, 2, 7, 8):
+            v = [b for a, b in rows if a == g and b is not None]
+            assert got[g][0] == len(v) and abs(got[g][1] - np.quantile(v, q)) < 1e-9
+
+
+def test_numbered_rows(spark):
+    from marlstone.operators.tables import numbered
+
+    rows = numbered(spark.range(1000).selectExpr("id * 37 % 1000 as id").repartition(5), "at", "id").collect()
+    assert sorted((r["at"], r["id"]) for r in rows) == [(i + 1, i) for i in range(1000)]
+    assert numbered(spark.range(0), "at", "id").count() == 0
+
+
+def test_traces(spark):
+    from marlstone.operators import traces
+
+    calls = spark.createDataFrame([("t", 0, 5, 1, 1), ("t", 6, 8, 2, 2), ("t", 10, 30, 3, 3), ("t", 40, 41, 4, 2), ("u", 1, 2, 5, 1), ("t", 50, 51, 6, 9)], "thread string, start long, end long, correlation long, name_id int")
+    names = spark.createDataFrame([(1, "copyAsync_v2"), (2, "launch"), (3, "synchronize")], "id int, value string")
+    inside = traces.episodes(traces.named(calls, names), "copyAsync", "synchronize")
+    assert sorted((r.thread, r.start, r.begin, r.until) for r in inside.collect()) == [("t", 0, 0, 30), ("t", 6, 0, 30), ("t", 10, 0, 30)]
+    kernels = spark.createDataFrame([(7, 9, 2), (25, 33, 2), (1, 2, 4)], "start long, end long, correlation long")
+    assert [tuple(r)[2:] for r in traces.device_work(inside, kernels).collect()] == [(2, 10, 1)]
+    ranges = spark.createDataFrame([("t", 0, 30, "whole"), ("t", 5, 31, "over"), ("u", 5, 6, "other"), ("t", 35, 36, "after"), ("t", 7, 8, "in")], "thread string, start long, end long, name string")
+    assert sorted((r.name, r.offset, r.duration) for r in traces.contained(inside, ranges).collect()) == [("in", 7, 1), ("whole", 0, 30)]
+
+
+def test_sinks(spark, tmp_path):
+    from marlstone.sources import matrices, sinks
+
+    f = spark.createDataFrame([(i, 10 + i, i, i / (10 + i)) for i in range(50)] + [(99, 0, 0, 0.0)], "item_id long, views long, likes long, ctr double").repartition(4)
+    sinks.write_features(f, str(tmp_path / "f"))
+    lines = next((tmp_path / "f").glob("part*")).read_text().splitlines()
+    assert lines[0] == "item,views,likes,ctr" and lines[2] == "1,11,1,0.090909091" and len(lines) == 51
+    assert sinks.read_features(spark, str(tmp_path / "f")).agg({"views": "sum"}).first()[0] == sum(10 + i for i in range(50))
+    v = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(20)], "item_id long, embedding array<float>").repartition(3)
+    sinks.write_matrix(v, str(tmp_path / "m"), matrices.CATALOG_MAGIC)
+    back = sinks.read_matrix(spark, str(tmp_path / "m"), matrices.CATALOG_MAGIC).orderBy("part", "row").collect()
+    assert [r.embedding for r in back] == [[float(i), 0.5] for i in range(20)]
+    with pytest.raises(Exception):
+        sinks.read_matrix(spark, str(tmp_path / "m"), 1).collect()
+    (tmp_path / "p.csv").write_text("query_row,item\n1,5\n1,4\n1,5\n2,9\nx,y\n")
+    assert [tuple(r) for r in sinks.read_pairs(spark, str(tmp_path / "p.csv")).orderBy("query_row").collect()] == [(1, [4, 5]), (2, [9])]
+    got = sinks.lag(spark.createDataFrame([(0, 10, 4), (1, 3, 9), (2, None, 1), (3, 4, None)], "partition int, high long, last long")).orderBy("partition").collect()
+    assert [r.lag for r in got] == [5, 0, None, 4]
+    (tmp_path / "metrics").write_text("# HELP x\na_total 5\nb{le=\"1\"} 7\nbad line here\nc x\n")
+    assert {tuple(r) for r in sinks.scraped(spark, str(tmp_path / "metrics")).collect()} == {("a_total", 5), ('b{le="1"}', 7)}
+    train = spark.createDataFrame([(5, 70), (3, 80)], "user long, item long")
+    sinks.write_training({"factors": v}, train, train.limit(1), str(tmp_path / "t"))
+    assert {(r.user, r["row"]) for r in spark.read.parquet(str(tmp_path / "t" / "user_map")).collect()} == {(3, 0), (5, 1)}
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    from marlstone.operators.evaluation import bootstrap_interval
+
+    d = spark.range(300).selectExpr("id as user", "cast(id % 7 as double) - 3 as difference")
+    a, b = (bootstrap_interval(d.repartition(n), "difference", 200).first() for n in (1, 5))
+    assert a.n == b.n == 300 and abs(a.low - b.low) < 1e-9 and abs(a.high - b.high) < 1e-9 and a.low < a["mean"] < a.high
