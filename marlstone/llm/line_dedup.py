@@ -14,6 +14,8 @@ from marlstone.llm.common import SPACE_RUN, as_row, discard, materialize, sized
 #: Bits of a token that are hash; its rarity is above them.
 HASH_BITS = 57
 _ORDER = ("doc", "no", "th")
+#: Words of 64 bits in the sketch that candidates are compared by before their words; a power of two.
+SKETCH = 8
 
 
 def _lines(df: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -110,6 +112,21 @@ def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
 
 
+def _by_sketch(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` whose sketches do not rule them out: parities of the words in ``SKETCH`` times 64 bits, which are much narrower than the words.
+
+    As with the bitmap, the bits that differ are at most the words that differ.
+    """
+    words = lines.select("cid", F.size("words").alias("n"), F.explode_outer("words").alias("h"))
+    part, bit = F.call_function("shiftrightunsigned", F.col("h"), F.lit(6)).bitwiseAND(F.lit(SKETCH - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    sketch = words.groupBy("cid", "n").agg(*(F.bit_xor(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH)))
+    side = lambda c: sketch.select(F.col("cid").alias(c), F.struct("n", *(f"s{k}" for k in range(SKETCH))).alias(f"{c}_"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.col(f"a_.s{k}").bitwiseXOR(F.col(f"b_.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("a_.s0").bitwiseXOR(F.col("b_.s0"))))
+    nx, ny = F.col("a_.n"), F.col("b_.n")
+    return met.filter(differ <= nx + ny - 2 * _overlap(nx, ny, percent)).select("a", "b")
+
+
 def _later(pairs: DataFrame, classes: DataFrame, df: DataFrame, text: str, id_col: str, percent: int) -> DataFrame:
     """``(cid)``: the later line of each of the ``pairs(a, b)`` whose whole lines are similar enough, compared by their words' 64-bit hashes."""
     pairs, pairs_path = materialize(pairs, "line-pairs")
@@ -120,18 +137,23 @@ def _later(pairs: DataFrame, classes: DataFrame, df: DataFrame, text: str, id_co
     t = F.col(text).cast("string")
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"))
     met = texts.join(sized(where), ["doc", "th"]).select("doc", "th", F.split("t", "\n").alias("lines"), F.explode_outer("want").alias("w"))
-    lines = met.select(F.col("w.cid").alias("cid"), F.struct("doc", F.col("w.no").alias("no"), "th").alias("at"), F.array_distinct(_hashes(F.get("lines", F.col("w.no")))).alias("words")).dropDuplicates(["cid"])
+    lines = met.select(F.col("w.cid").alias("cid"), F.struct("doc", F.col("w.no").alias("no"), "th").alias("at"), F.array_distinct(_hashes(F.get("lines", F.col("w.no")))).alias("words"))
     lines, lines_path = materialize(lines, "lines-words")
-    both = pairs.join(lines.select(F.col("cid").alias("a"), F.struct("at", "words").alias("x")), "a").join(lines.select(F.col("cid").alias("b"), F.struct("at", "words").alias("y")), "b")
+    paths = [pairs_path, asked_path, where_path, lines_path]
+    if lines.count() != asked.count():  # rows that repeat a document
+        lines, once = materialize(lines.dropDuplicates(["cid"]), "lines-once")
+        paths.append(once)
+    near, near_path = materialize(_by_sketch(pairs, lines, percent), "lines-near")
+    both = near.join(lines.select(F.col("cid").alias("a"), F.struct("at", "words").alias("x")), "a").join(lines.select(F.col("cid").alias("b"), F.struct("at", "words").alias("y")), "b")
     common = F.size(F.array_intersect("x.words", "y.words"))
     same = both.filter((100 + percent) * common >= percent * (F.size("x.words") + F.size("y.words")))
     found, _ = materialize(same.select(F.when(F.col("x.at") > F.col("y.at"), F.col("a")).otherwise(F.col("b")).alias("cid")).distinct(), "lines-later")
-    for path in (pairs_path, asked_path, where_path, lines_path):
+    for path in [*paths, near_path]:
         discard(df.sparkSession, path)
     return found
 
 
-def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 1, sketch_bits: int = 16, keys: int = 4) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 1, sketch_bits: int = 17, keys: int = 4) -> DataFrame:
     """``(row, text, n_lines, removed)`` for every row of ``df``: its text without lines that came before.
 
     Lines are parts between \\n; a line's tokens are its distinct words.  A line of at least
