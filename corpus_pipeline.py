@@ -9,10 +9,12 @@ Columns of any other name are carried along unread; all but the last stage retur
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import discard, materialize, scratch, table
+from marlstone.llm.common import discard, materialize, table, tracked
 from marlstone.llm.decontam import decontaminate
 from marlstone.llm.line_dedup import dedup_lines
 from marlstone.llm.packing import pack_documents
@@ -20,11 +22,33 @@ from marlstone.llm.quality_rules import judge
 from marlstone.llm.simhash import keep_one
 
 
+_before: list[str] = []
+
+
+def _stage(work):
+    """The stage function ``work``; files that only the stage before it needed go when it begins, unless ``docs`` still reads them."""
+
+    @functools.wraps(work)
+    def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _before else []
+        for path in [p for p in _before if not any(p.rsplit("/", 1)[-1] in f for f in read)]:
+            _before.remove(path)
+            discard(spark, path)
+        with tracked() as written:
+            out = work(spark, docs, sf_dir)
+        _before.extend(written)
+        return out
+
+    return run_one
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return judge(docs).filter("kept").select("row.*")
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go; the documents stay, with n_chars of what is left."""
     found = dedup_lines(docs)
@@ -35,16 +59,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*(cols.get(f.name, F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return keep_one(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select("row.*")
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 ids."""
     import public_tokenizers
@@ -62,9 +89,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written before the next one reads it; what only a finished stage needed goes."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        with scratch(spark) as inside:
-            docs, path = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-            inside.remove(path)
+        docs, path = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if before:
             discard(spark, before)
         before = path

@@ -65,14 +65,13 @@ _written: list[list[str]] = []
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """What ``materialize`` writes inside goes at the end, but for folders that are taken off the list."""
+def tracked() -> Iterator[list[str]]:
+    """The folders that ``materialize`` writes inside."""
     _written.append([])
     try:
         yield _written[-1]
     finally:
-        for path in _written.pop():
-            discard(spark, path)
+        _written.pop()
 
 
 def discard(spark: SparkSession, path: str) -> None:

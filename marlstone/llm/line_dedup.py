@@ -35,9 +35,10 @@ def _overlap(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil(percent * (nx + ny) / F.lit(100.0 + percent) - 1e-9).cast("long")
 
 
-def _possible(nx: Column, ny: Column, bx: Column, by: Column, percent: int) -> Column:
+def _possible(nx: Column, ny: Column, bx: tuple[Column, Column], by: tuple[Column, Column], percent: int) -> Column:
     """Bitmap filter and length filter: neither drops a pair that is similar enough."""
-    return (F.bit_count(bx.bitwiseXOR(by)) <= nx + ny - 2 * _overlap(nx, ny, percent)) & (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
+    differ = F.bit_count(bx[0].bitwiseXOR(by[0])) + F.bit_count(bx[1].bitwiseXOR(by[1]))
+    return (differ <= nx + ny - 2 * _overlap(nx, ny, percent)) & (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
 
 
 def rarity_levels(df: DataFrame, text: str, bits: int) -> list[int]:
@@ -55,9 +56,9 @@ def rarity_levels(df: DataFrame, text: str, bits: int) -> list[int]:
 
 
 def _measured(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """``(h1, h2, doc, no, th, words, n, bm, prefix)`` of each line: its distinct tokens, rarest first, as far as the prefix goes.
+    """``(h1, h2, doc, no, th, words, n, b0, b1, prefix)`` of each line: its distinct tokens, rarest first, as far as the prefix goes.
 
-    ``bm`` is the parity of the tokens per bit: the bits in which two bitmaps differ are at most the tokens in which two sets differ.
+    ``b0`` and ``b1`` are a bitmap of 128 bits, the parity of the tokens per bit: the bits in which two bitmaps differ are at most the tokens in which two sets differ.
     """
     held = F.from_json(F.lit(str(levels)), "array<int>")  # a constant; looked up by position
 
@@ -69,13 +70,17 @@ def _measured(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
     step = step.select("h1", "h2", *_ORDER, F.size("h").alias("words"), F.array_distinct("h").alias("h"))
     step = step.select("h1", "h2", *_ORDER, "words", F.sort_array(F.transform("h", token)).alias("tokens"))
     n = F.size("tokens")
-    bit = lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
-    return step.select("h1", "h2", *_ORDER, "words", n.alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), bit).alias("bm"), F.slice("tokens", 1, n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1).alias("prefix"))
+
+    def half(k: int) -> Column:
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(64)) == 64 * k, a.bitwiseXOR(bit(h))).otherwise(a))
+
+    return step.select("h1", "h2", *_ORDER, "words", n.alias("n"), half(0).alias("b0"), half(1).alias("b1"), F.slice("tokens", 1, n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1).alias("prefix"))
 
 
 def _classes(lines: DataFrame, levels: list[int], percent: int, min_words: int) -> DataFrame:
     """One row per different line (128 bits of hash) of enough words: its first place, what is measured of it, a ``cid`` in no order, and its copies."""
-    found = _measured(lines, levels, percent).groupBy("h1", "h2").agg(F.min(F.struct(*_ORDER, "words", "n", "bm", "prefix")).alias("m"), F.count("*").alias("copies")).filter(F.col("m.words") >= max(1, min_words))
+    found = _measured(lines, levels, percent).groupBy("h1", "h2").agg(F.min(F.struct(*_ORDER, "words", "n", "b0", "b1", "prefix")).alias("m"), F.count("*").alias("copies")).filter(F.col("m.words") >= max(1, min_words))
     return found.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "m.*", "copies")
 
 
@@ -86,29 +91,28 @@ def _through_pivots(classes: DataFrame, percent: int, keys: int) -> DataFrame:
     The choice goes by hash, not by rarity: words that only one copy has are the rarest.
     """
     chosen = F.slice(F.sort_array(F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))), 1, keys)
-    rows = classes.select("cid", "doc", "n", "bm", F.explode_outer(chosen).alias("token")).withColumn("token", F.xxhash64("token", F.floor(F.log("n") / math.log(100 / percent))))
-    pivots = rows.groupBy("token").agg(F.count("*").alias("k"), *(F.min_by(c, "doc").alias(f"p_{c}") for c in ("cid", "n", "bm"))).filter("k > 1").drop("k")
-    met = rows.join(pivots, "token").filter((F.col("cid") != F.col("p_cid")) & _possible(F.col("n"), F.col("p_n"), F.col("bm"), F.col("p_bm"), percent))
+    rows = classes.select("cid", "doc", "n", "b0", "b1", F.explode_outer(chosen).alias("token")).withColumn("token", F.xxhash64("token", F.floor(F.log("n") / math.log(100 / percent))))
+    pivots = rows.groupBy("token").agg(F.count("*").alias("k"), *(F.min_by(c, "doc").alias(f"p_{c}") for c in ("cid", "n", "b0", "b1"))).filter("k > 1").drop("k")
+    met = rows.join(pivots, "token").filter((F.col("cid") != F.col("p_cid")) & _possible(F.col("n"), F.col("p_n"), (F.col("b0"), F.col("b1")), (F.col("p_b0"), F.col("p_b1")), percent))
     return met.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
 
 
 def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: the pairs of ``classes`` with ``settled`` that share a prefix token and pass all filters, but those whose later line is settled.
+    """``(a, b)``: the pairs of ``classes`` with ``settled`` that share a prefix token and pass all filters, but those of two settled lines.
 
     The longer line (by cid, if they are as long) takes part with its whole prefix, the shorter one with the shorter prefix that is enough
     for partners at least as long.  Rows are kept narrow: size, position and whether the line is settled share one long.
     """
     long_, n = "long", F.col("n").cast("long")
-    rows = classes.select("cid", (n * (1 << 32) + F.col("settled").cast(long_)).alias("size"), "doc", "bm", F.posexplode_outer("prefix").alias("pos", "token")).select("token", "cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "doc", "bm")
+    rows = classes.select("cid", (n * (1 << 32) + F.col("settled").cast(long_)).alias("size"), "b0", "b1", F.posexplode_outer("prefix").alias("pos", "token")).select("token", "cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "b0", "b1")
     nx, ny = (F.call_function("shiftright", F.col(f"{k}_packed"), F.lit(32)) for k in "xy")
     px, py = (F.call_function("shiftright", F.col(f"{k}_packed").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(1)) for k in "xy")
-    x, y = (rows.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("cid", "packed", "doc", "bm"))) for k in "xy")
+    x, y = (rows.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("cid", "packed", "b0", "b1"))) for k in "xy")
     y = y.filter(py <= ny - _overlap(ny, ny, percent))
-    sx, sy = (F.col(f"{k}_packed").bitwiseAND(F.lit(1)) == 1 for k in "xy")
-    open_ = (~sx & ~sy) | (~sx & (F.col("x_doc") >= F.col("y_doc"))) | (~sy & (F.col("y_doc") >= F.col("x_doc")))
+    open_ = F.col("x_packed").bitwiseAND(F.col("y_packed")).bitwiseAND(F.lit(1)) == 0
     longer = (nx > ny) | ((nx == ny) & (F.col("x_cid") > F.col("y_cid")))
     left = F.least(nx - px, ny - py)  # positions from 0: the token itself counts
-    joined = x.join(y, "token").filter(longer & open_ & (left >= _overlap(nx, ny, percent)) & _possible(nx, ny, F.col("x_bm"), F.col("y_bm"), percent))
+    joined = x.join(y, "token").filter(longer & open_ & (left >= _overlap(nx, ny, percent)) & _possible(nx, ny, (F.col("x_b0"), F.col("x_b1")), (F.col("y_b0"), F.col("y_b1")), percent))
     return joined.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
 
 
@@ -176,7 +180,7 @@ def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", perce
     lines = _lines(df, text, id_col)
     classes, classes_path = materialize(_classes(lines, rarity_levels(df, text, sketch_bits), percent, min_words), "lines")
     settled = _later(_through_pivots(classes, percent, keys), classes, df, text, id_col, percent)
-    marked = classes.select("cid", "doc", "n", "bm", "prefix").join(sized(settled).withColumn("s", F.lit(True)), "cid", "left").select("cid", "doc", "n", "bm", "prefix", F.coalesce("s", F.lit(False)).alias("settled"))
+    marked = classes.select("cid", "n", "b0", "b1", "prefix").join(sized(settled).withColumn("s", F.lit(True)), "cid", "left").select("cid", "n", "b0", "b1", "prefix", F.coalesce("s", F.lit(False)).alias("settled"))
     found = _later(_by_prefix(marked, percent), classes, df, text, id_col, percent)
     later, _ = materialize(settled.unionByName(found).distinct(), "lines-all-later")
     heads = classes.select("cid", "h1", "h2", "copies", F.struct(*_ORDER).alias("first")).join(sized(later).withColumn("later", F.lit(True)), "cid", "left")
