@@ -97,14 +97,16 @@ def _through_pivots(classes: DataFrame, percent: int, keys: int) -> DataFrame:
     return met.select(F.least("cid", "p_cid").alias("a"), F.greatest("cid", "p_cid").alias("b")).distinct()
 
 
-def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
+def _by_prefix(classes: DataFrame, percent: int, part: int, parts: int) -> DataFrame:
     """``(a, b)``: the pairs of ``classes`` with ``settled`` that share a prefix token and pass all filters, but those of two settled lines.
 
     The longer line (by cid, if they are as long) takes part with its whole prefix, the shorter one with the shorter prefix that is enough
-    for partners at least as long.  Rows are kept narrow: size, position and whether the line is settled share one long.
+    for partners at least as long.  Rows are kept narrow: size, position and whether the line is settled share one long.  Only tokens
+    of ``part`` of ``parts`` take part: one part after the other needs that much less disk.
     """
     long_, n = "long", F.col("n").cast("long")
     rows = classes.select("cid", (n * (1 << 32) + F.col("settled").cast(long_)).alias("size"), "b0", "b1", F.posexplode_outer("prefix").alias("pos", "token")).select("token", "cid", (F.col("size") + 2 * F.col("pos")).alias("packed"), "b0", "b1")
+    rows = rows.filter(F.pmod("token", F.lit(parts)) == part)
     nx, ny = (F.call_function("shiftright", F.col(f"{k}_packed"), F.lit(32)) for k in "xy")
     px, py = (F.call_function("shiftright", F.col(f"{k}_packed").bitwiseAND(F.lit((1 << 32) - 1)), F.lit(1)) for k in "xy")
     x, y = (rows.select("token", *(F.col(c).alias(f"{k}_{c}") for c in ("cid", "packed", "b0", "b1"))) for k in "xy")
@@ -157,7 +159,7 @@ def _later(pairs: DataFrame, classes: DataFrame, df: DataFrame, text: str, id_co
     return found
 
 
-def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 1, sketch_bits: int = 17, keys: int = 4) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = 80, min_words: int = 1, sketch_bits: int = 17, keys: int = 4, parts: int = 2) -> DataFrame:
     """``(row, text, n_lines, removed)`` for every row of ``df``: its text without lines that came before.
 
     Lines are parts between \\n; a line's tokens are its distinct words.  A line of at least
@@ -181,7 +183,14 @@ def dedup_lines(df: DataFrame, text: str = "text", id_col: str = "doc_id", perce
     classes, classes_path = materialize(_classes(lines, rarity_levels(df, text, sketch_bits), percent, min_words), "lines")
     settled = _later(_through_pivots(classes, percent, keys), classes, df, text, id_col, percent)
     marked = classes.select("cid", "n", "b0", "b1", "prefix").join(sized(settled).withColumn("s", F.lit(True)), "cid", "left").select("cid", "n", "b0", "b1", "prefix", F.coalesce("s", F.lit(False)).alias("settled"))
-    found = _later(_by_prefix(marked, percent), classes, df, text, id_col, percent)
+    pairs, held = None, []
+    for part in range(parts):
+        some, path = materialize(_by_prefix(marked, percent, part, parts), "line-candidates")
+        pairs = some if pairs is None else pairs.unionByName(some)
+        held.append(path)
+    found = _later(pairs.distinct(), classes, df, text, id_col, percent)
+    for path in held:
+        discard(spark, path)
     later, _ = materialize(settled.unionByName(found).distinct(), "lines-all-later")
     heads = classes.select("cid", "h1", "h2", "copies", F.struct(*_ORDER).alias("first")).join(sized(later).withColumn("later", F.lit(True)), "cid", "left")
     heads, heads_path = materialize(heads.filter("later or copies > 1").select("h1", "h2", "first", F.coalesce("later", F.lit(False)).alias("later")), "line-heads")
