@@ -118,7 +118,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     measured first, and a larger one is scanned part by part, the occurrences then meet per row.
     (A single item longer than that is cut into parts that overlap by ``window`` - 1 words.)
     Null texts have no words; null items and items without words have no windows; items with a
-    null id are left out; an empty benchmark leaves every document clean.
+    null id are left out; an empty benchmark leaves every document clean.  A very long text is scanned whole; repeated
+    rows get the same verdict and each is returned; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = as_row(docs).withColumn("text", F.col("row").getField(text).cast("string"))

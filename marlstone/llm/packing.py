@@ -127,7 +127,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, block_rows: int = 65536) -> Da
 def pack_documents(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id_col: str = "doc_id", length: int = 1024, end_id: int = 2, block_rows: int = 65536, keep_ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack the whole texts of ``df``; see ``tokenized_pieces`` and ``pack``.
 
-    Repeated rows are packed as often as they come; a null doc_id is kept as null; an empty
+    Repeated rows are packed as often as they come; a very long text is cut into whole sequences and a rest; a null doc_id is kept as null; an empty
     table gives no pieces; other columns are not read.
     """
     pieces, _ = materialize(tokenized_pieces(df, vocabulary, pattern, text, id_col, length, end_id, keep_ids), "pieces")

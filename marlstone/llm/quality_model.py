@@ -130,8 +130,8 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     is pooled to its vectors' mean and spread.  A two-layer network is trained on at most
     ``most_rows`` labelled rows outside fold 0; fold 1 of these sets its temperature instead.
 
-    Null and empty texts have pooled vector 0 and a score all the same.  Without labels of both
-    classes every score is 1.  Repeated rows give repeated rows; other columns are not read.
+    Null and empty texts have pooled vector 0 and a score all the same; a very long text is pooled whole.  Without labels of both
+    classes every score is 1.  Repeated rows give repeated rows; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, text, id_col, most_rows)

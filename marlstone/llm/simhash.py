@@ -141,7 +141,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", w
     Fingerprints link at ``distance`` or fewer differing bits; ``component_id`` is the smallest
     doc_id reachable, itself included.  Equal texts meet as one fingerprint, so large groups of
     copies are one node.  Null texts and texts without words have fingerprint zero and link like
-    any other; repeated rows give repeated rows; a null doc_id keeps its row, and its component
+    any other; a very long text is hashed whole, in parts; repeated rows give repeated rows; an empty table gives an empty result; a null doc_id keeps its row, and its component
     is the smallest doc_id reached, or null where there is none.  Other columns are not read.
     """
     fps, _ = materialize(fingerprints(df, text, id_col, words, seed), "simhash")
