@@ -21,8 +21,9 @@ def accepted(events: DataFrame, impressions: DataFrame | None = None, exposures:
     and ``exposures(request_id, item_id)`` a row must reference an issued item of the same user, at most 30 s before its
     recommendation; with ``received_ms`` it must be at most 24 hours old and 30 s ahead.
 
-    Rows that only wait for undecided earlier ones are decided in the next round; a round decides every row whose rivals are decided.
-    Rounds go through written tables, and each works on keys, so nothing is collected; journals need a few.
+    Where no row of a request and item shares its event_id with another, one pass decides: the first shown, then the first of each outcome after it.
+    The rest goes in rounds: rows that only wait for undecided earlier ones are decided in the next one.
+    Rounds go through written tables, and each works on keys, so nothing is collected.
     """
     request = F.col("request_id") if "request_id" in events.columns else F.struct("user_id", "item_id")
     payload = [c for c in events.columns if c not in ("seq", "received_ms")]
@@ -38,6 +39,18 @@ def accepted(events: DataFrame, impressions: DataFrame | None = None, exposures:
     rows = rows.withColumn("status", why).withColumn("_late", late).drop("_u", "_c")
     before = lambda *keys: Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     spark = events.sparkSession
+    by = Window.partitionBy
+    rows = rows.withColumn("_n", F.count("*").over(by("event_id"))).withColumn("_single", F.max("_n").over(by("_key")) == 1)
+    sound, shows = F.col("status").isNull() & F.col("_late").isNull(), F.col("kind") == "shown"
+    rows = rows.withColumn("_from", F.min(F.when(sound & shows, F.col("seq"))).over(by("_key")))
+    rows = rows.withColumn("_first", F.min(F.when(sound & (shows | (F.col("seq") > F.col("_from"))), F.col("seq"))).over(by("_key", "kind")))
+    once = F.when(F.col("_late").isNotNull(), F.col("_late")).when(~shows & ~F.coalesce(F.col("seq") > F.col("_from"), F.lit(False)), "not_shown").when(F.col("seq") == F.col("_first"), "accepted").otherwise("conflict")
+    rows = rows.withColumn("status", F.when(F.col("_single"), F.coalesce("status", once)).otherwise(F.col("status"))).drop("_n", "_from", "_first")
+    rows, _ = written(rows, "journal")
+    plain = rows.filter("_single").drop("_payload", "_key", "_late", "_single")
+    rows = rows.filter("not _single").drop("_single")
+    if rows.isEmpty():
+        return plain
     paths = []
     while True:
         taken, open_ = F.col("status") == "accepted", F.col("status").isNull()
@@ -70,7 +83,7 @@ def accepted(events: DataFrame, impressions: DataFrame | None = None, exposures:
             break
     for path in paths[:-1]:
         remove(spark, path)
-    return rows.drop("_payload", "_key", "_late")
+    return plain.unionByName(rows.drop("_payload", "_key", "_late"))
 
 
 def projection(journal: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ met AS (SELECT *, list_sum(list_transform(range(1, least(10, n_gold) + 1), lambd
 def _split(spark, sf_dir):
     from marlstone.operators.evaluation import split_per_user
 
-    s = split_per_user(views.interactions(spark, sf_dir))
+    s, _ = written(split_per_user(views.interactions(spark, sf_dir)), "split")
     return s.filter("not test"), s.filter("test")
 
 
