@@ -45,23 +45,32 @@ def popularity(train: DataFrame) -> DataFrame:
 
 
 def popular_unseen(users: DataFrame, train: DataFrame, k: int, depth: int = 512) -> DataFrame:
-    """``(user, item, rank)``: the first ``k`` popular items that the user has not had.
-
-    The ``depth`` most popular items have a fixed size and are broadcast.  A user who has had m items finds ``k`` others
-    among the first k + m: where that is more than ``depth``, the list goes on for this user as far.
-    """
+    """``(user, item, rank)``: the first ``k`` popular items that the user has not had."""
     ranking, seen = popularity(train).select("item", F.col("rank").alias("pop")), train.select("user", "item").distinct()
-    asked = users.select("user").distinct()
-    first = asked.join(F.broadcast(ranking.filter(F.col("pop") <= depth)))
-    open_ = first.unionByName(further(asked, seen, ranking, "user", k, depth)).join(seen, ["user", "item"], "left_anti")
-    w = Window.partitionBy("user").orderBy("pop")
-    return open_.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("user", "item", "rank")
+    return unseen(users.select("user").distinct(), seen, ranking, "user", "item", k, depth).select("user", "item", "rank")
 
 
-def further(asked: DataFrame, had: DataFrame, ranking: DataFrame, by: str, k: int, depth: int) -> DataFrame:
-    """Rows of ``ranking`` from ``depth`` + 1 to ``k`` plus the number of rows in ``had``, for each ``by`` of ``asked``."""
-    many = had.join(asked, by, "left_semi").groupBy(by).agg(F.count("*").alias("m")).filter(F.col("m") + k > depth)
-    return many.select(by, F.explode(F.sequence(F.lit(depth + 1), (F.col("m") + k).cast("int"))).alias("pop")).join(ranking.filter(F.col("pop") > depth), "pop").select(by, *ranking.columns)
+def unseen(asked: DataFrame, had: DataFrame, ranking: DataFrame, by: str, item: str, k: int, depth: int = 512) -> DataFrame:
+    """``(by, item, pop, rank)``: for each ``by`` of ``asked`` the first ``k`` items of ``ranking(item, pop)`` that are not in ``had(by, item)``.
+
+    ``asked`` and ``had`` hold different rows; ``pop`` runs from 1.  The ``depth`` first items are a constant of the plan, and what each ``by`` has had of
+    them is one array, so a list is made within its row.  One who has had m items finds ``k`` others among the first k + m: where the
+    list is short and that is past ``depth``, it goes on by a join, for these alone.
+    """
+    start = ranking.filter(F.col("pop") <= depth)
+    kind = ranking.schema[item].dataType.simpleString()
+    top = F.array(*(F.lit(r[0]) for r in start.orderBy("pop").select(item).collect())).cast(f"array<{kind}>")
+    none = F.array().cast(f"array<{kind}>")
+    seen = had.join(asked, by, "left_semi").join(F.broadcast(start.select(item, F.lit(True).alias("_top"))), item, "left")
+    seen = seen.groupBy(by).agg(F.count("*").alias("_m"), F.collect_list(F.when(F.col("_top"), F.col(item))).alias("_had"))
+    lists = asked.join(seen, by, "left").withColumn("_open", F.slice(F.array_except(top, F.coalesce("_had", none)), 1, k))
+    first = lists.select(by, F.posexplode("_open").alias("_at", item))
+    first = first.select(by, item, F.array_position(top, F.col(item)).cast("int").alias("pop"), (F.col("_at") + 1).alias("rank"))
+    short = lists.filter((F.size("_open") < k) & (F.coalesce("_m", F.lit(0)) + k > depth)).select(by, "_m", F.size("_open").alias("_found"))
+    more = short.select(by, "_found", F.explode(F.sequence(F.lit(depth + 1), (F.coalesce("_m", F.lit(0)) + k).cast("int"))).alias("pop"))
+    more = more.join(ranking.filter(F.col("pop") > depth).withColumn("pop", F.col("pop").cast("int")), "pop").join(had, [by, item], "left_anti")
+    more = more.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("pop")) + F.col("_found")).filter(F.col("rank") <= k)
+    return first.unionByName(more.select(by, item, "pop", "rank"))
 
 
 def ranking_metrics(lists: DataFrame, gold: DataFrame, k: int) -> DataFrame:

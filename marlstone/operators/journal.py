@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.operators.evaluation import further
+from marlstone.operators.evaluation import unseen
 from marlstone.operators.tables import remove, written
 
 DAY_MS = 86_400_000
@@ -169,7 +169,7 @@ def selected(candidates: DataFrame, blocked: DataFrame, features: DataFrame, pop
     score + 0.05 * saved / (shown + 2), then id.
 
     A saved item may overtake unsaved ones before it by at most 0.05, so fills are taken as far down the ranking as that reaches: k, the blocked ones,
-    and 0.05 * ``n_items`` places more.  The first ``depth`` places are broadcast.
+    and 0.05 * ``n_items`` places more.  The first ``depth`` places travel with the plan.
     """
     eligible = candidates.join(blocked, ["query_id", "item_id"], "left_anti")
     at = Window.partitionBy("query_id")
@@ -184,9 +184,8 @@ def selected(candidates: DataFrame, blocked: DataFrame, features: DataFrame, pop
     inside = eligible.join(chosen, "query_id").filter(F.col("rank") <= F.col("tier"))
     open_ = chosen.filter(F.col("have") < k)
     reach = k + int(0.05 * n_items) + 1
-    start = popular.filter(F.col("pop") <= depth)
-    more = further(open_.select("query_id"), blocked.select("query_id", "item_id").distinct().unionByName(inside.select("query_id", "item_id")), popular, "query_id", reach, depth)
-    fills = open_.select("query_id").join(F.broadcast(start)).unionByName(more.select("query_id", *popular.columns)).join(blocked, ["query_id", "item_id"], "left_anti").join(inside.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    had = blocked.select("query_id", "item_id").unionByName(inside.select("query_id", "item_id")).distinct()
+    fills = unseen(open_.select("query_id"), had, popular, "query_id", "item_id", reach, depth).drop("rank")
     fills = fills.join(open_, "query_id").select("query_id", "item_id", (F.col("low") - 1 - (F.col("pop") - 1) / F.lit(float(max(n_items, 1)))).alias("score"), "tier", F.lit("popular").alias("candidate_source"))
     every = inside.select("query_id", "item_id", "score", "tier", F.lit("retrieval").alias("candidate_source")).unionByName(fills).join(features, "item_id", "left")
     scored = every.withColumn("score", F.round(F.col("score") + F.coalesce(0.05 * F.col("saved") / (F.col("shown") + 2), F.lit(0.0)), 6))
