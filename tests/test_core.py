@@ -325,3 +325,89 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     d = spark.range(300).selectExpr("id as user", "cast(id % 7 as double) - 3 as difference")
     a, b = (bootstrap_interval(d.repartition(n), "difference", 200).first() for n in (1, 5))
     assert a.n == b.n == 300 and abs(a.low - b.low) < 1e-9 and abs(a.high - b.high) < 1e-9 and a.low < a["mean"] < a.high
+
+
+def _stream(spark, folder, rows, schema, files):
+    """``rows`` as a stream of ``files`` files, one a batch, in order."""
+    import time
+
+    per = -(-len(rows) // files)
+    for i in range(files):
+        spark.createDataFrame(rows[i * per : (i + 1) * per], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(0.02)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_nearline_state(spark, tmp_path):
+    import random
+
+    from marlstone.streaming import nearline
+
+    rng = random.Random(3)
+    rows = [(i, 1000 + 7 * i, rng.randrange(5), rng.randrange(9), rng.randrange(2)) for i in range(120)]
+    stream = _stream(spark, tmp_path / "in", rows, "event_id long, event_time_ms long, user_id long, item_id long, type int", 3)
+    users, items = {}, {}
+    run = nearline.drained(nearline.user_state(stream), lambda b, n: users.update({r.user_id: (r.last_items, r.last_event_ms) for r in b.collect()}), str(tmp_path / "u"), "update")
+    nearline.drained(nearline.item_state(stream), lambda b, n: items.update({r.item_id: (r.views, r.likes, r.last_event_ms) for r in b.collect()}), str(tmp_path / "i"), "update")
+    for u in range(5):
+        mine = [r for r in rows if r[2] == u]
+        assert users[u] == ([r[3] for r in mine][-8:], mine[-1][1])
+    for i in range(9):
+        mine = [r for r in rows if r[3] == i]
+        assert items[i] == (len(mine), sum(r[4] for r in mine), mine[-1][1])
+    seen = nearline.progress(run.recentProgress)
+    assert seen[-1]["consumed"] == 120 and {s["lag"] for s in seen} == {None}
+
+
+def test_lag_of_numbered_offsets():
+    from marlstone.streaming.nearline import progress
+
+    report = {"batchId": 4, "eventTime": {"watermark": "w"}, "sources": [{"description": "k", "numInputRows": 7, "latestOffset": {"t": {"0": 10, "1": 3}}, "endOffset": {"t": {"0": 4, "1": 5}}}]}
+    assert progress([report]) == [{"batch": 4, "source": "k", "rows": 7, "consumed": 7, "lag": 6, "watermark": "w"}]
+
+
+def test_sliding_counts(spark, tmp_path):
+    from datetime import datetime
+
+    from marlstone.streaming import nearline
+
+    rows = [(datetime(2020, 1, 1, 0, 0, 3), 1, 1), (datetime(2020, 1, 1, 0, 0, 4), 1, 0)]
+    got = nearline.sliding_counts(spark.createDataFrame(rows, "ts timestamp, item_id long, type int"), "3 seconds", "1 second")
+    start = min(r.window_start_ms for r in got.collect())
+    assert sorted((r.window_start_ms - start, r.views, r.likes) for r in got.collect()) == [(0, 1, 1), (1000, 2, 1), (2000, 2, 1), (3000, 1, 0)]
+
+
+def test_journal_in_batches_equals_one_pass(spark, tmp_path):
+    import random
+
+    from marlstone.operators import journal
+    from marlstone.streaming import nearline
+
+    rng = random.Random(8)
+    rows = [(s, rng.randrange(40), rng.randrange(3), rng.randrange(4), rng.choice(["shown", "shown", "save", "dismiss", "other"]), rng.choice([1, 1, 2])) for s in range(150)]
+    schema = "seq long, event_id long, user_id long, item_id long, kind string, event_time_ms long"
+    path = str(tmp_path / "out")
+    apply = nearline.journal_applier(path)
+    nearline.drained(_stream(spark, tmp_path / "in", rows, schema, 3), apply, str(tmp_path / "c"))
+    apply(spark.createDataFrame(rows[100:], schema), 2)  # once more, after a failure
+    want = {r.seq: r.status for r in journal.accepted(spark.createDataFrame(rows, schema)).collect()}
+    assert {r.seq: r.status for r in nearline.applied(spark, path).collect()} == want and len(set(want.values())) >= 4
+
+
+def test_publication_is_fenced(spark, tmp_path):
+    from marlstone.streaming import nearline
+
+    path = str(tmp_path / "g")
+    assert nearline.generation(spark, path) == 0 and nearline.publish(spark.range(3), path, 0)
+    assert not nearline.publish(spark.range(4), path, 0) and nearline.read(spark, path).count() == 3
+    tries = []
+
+    def compute(seen):
+        tries.append(seen)
+        if len(tries) < 3:
+            assert nearline.publish(spark.range(seen), path, seen)  # another writer comes first
+        return spark.range(10 + seen)
+
+    assert nearline.fenced(spark, path, compute) == 4 and tries == [1, 2, 3] and nearline.read(spark, path).count() == 13
+    with pytest.raises(nearline.Changed):
+        nearline.fenced(spark, path, lambda seen: nearline.publish(spark.range(1), path, seen) and spark.range(2))
