@@ -644,3 +644,6 @@ def trace_ranges(spark, sf_dir):
 @query(f"WITH {JOURNAL}, {_PROJ} SELECT count(*) AS generation, max(event_time_ms) AS last_event_ms FROM acc")
 def journal_generation(spark, sf_dir):
     return journal.generation(journal.accepted(views.journal(spark, sf_dir)))
+
+
+from marlstone import serving_queries  # noqa: E402,F401  registers its queries here

@@ -411,3 +411,38 @@ def test_publication_is_fenced(spark, tmp_path):
     assert nearline.fenced(spark, path, compute) == 4 and tries == [1, 2, 3] and nearline.read(spark, path).count() == 13
     with pytest.raises(nearline.Changed):
         nearline.fenced(spark, path, lambda seen: nearline.publish(spark.range(1), path, seen) and spark.range(2))
+
+
+def test_policy_rules_on_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import policy
+
+    ids = ["a", "", None, "x" * 128, "x" * 129, "a b", "tab\t", "ü€", "line\n"]
+    got = [r.ok for r in spark.createDataFrame([(i, v) for i, v in enumerate(ids)], "i int, v string").orderBy("i").select(policy.is_identifier(F.col("v")).alias("ok")).collect()]
+    assert got == [True, False, False, True, False, False, False, True, False]
+    bounds = [(0, 5, 5), (1, 5, 5), (20, 5, 5), (21, 5, 5), (None, 5, 5), (5, 0, 5), (5, 65537, 5), (5, 5, 0), (5, 5, None)]
+    got = [r.f for r in spark.createDataFrame(bounds, "k int, r int, t int").select(policy.request_fault(F.col("k"), F.col("r"), F.col("t"), "account").alias("f")).collect()]
+    assert got == ["bad_k", None, None, "bad_k", "bad_k", "bad_retrieve", "bad_retrieve", "bad_timeout", "bad_timeout"]
+    left, right = spark.createDataFrame([(1,), (1,), (2,), (None,)], "i int"), spark.createDataFrame([(1,), (3,), (None,)], "i int")
+    assert sorted(map(tuple, policy.not_shared(left, right, "i").collect())) == [(1, 1, 0), (2, 1, 0), (3, 0, 1)]
+    titles = spark.createDataFrame([("Heat (1995)", ["A", "B", "C"]), ("Up (2009) x", [policy.NO_GENRES]), (None, None)], "t string, g array<string>")
+    assert [tuple(r) for r in titles.select(policy.plain_title(F.col("t")), policy.genre_label(F.col("g"))).collect()] == [("Heat", "A / B"), ("Up (2009) x", ""), (None, None)]
+
+
+def test_selected_items(spark):
+    from marlstone.operators import policy
+
+    asked = spark.createDataFrame([(1, "ready"), (2, "cold"), (3, "failed"), (4, "ready")], "query_id long, state string")
+    cand = spark.createDataFrame([(1, 10, 1), (1, 10, 2), (1, 11, 3), (1, 12, 4), (3, 10, 1)], "query_id long, item_id long, rank int")
+    gone = spark.createDataFrame([(1, 11), (2, 14), (4, 10), (4, 12), (4, 14), (4, 15)], "query_id long, item_id long")
+    catalog = spark.createDataFrame([(10, True), (11, True), (12, True), (13, False), (14, True), (15, True)], "item_id long, available boolean")
+    popular = spark.createDataFrame([(13, 1), (14, 2), (10, 3), (15, 4), (99, 5)], "item_id long, pop int")
+    for depth in (1, 512):
+        rows = policy.select_items(asked, cand, gone, catalog, popular, 3, "als", depth=depth).orderBy("query_id", "rank").collect()
+        lists = {q: [(r.item_id, r.source) for r in rows if r.query_id == q] for q in (1, 2, 3, 4)}
+        assert lists == {1: [(10, "als"), (12, "als"), (14, "popularity")], 2: [(10, "popularity"), (15, "popularity")], 3: [(14, "popularity"), (10, "popularity"), (15, "popularity")], 4: [(None, None)]}
+        assert {(r.query_id, r.candidate_source, r.degraded, r.exhausted) for r in rows} == {(1, "als", False, False), (2, "popularity", False, True), (3, "popularity", True, False), (4, "als", False, True)}
+    with pytest.raises(Exception, match="unknown item 77"):
+        policy.select_items(asked, cand.unionByName(spark.createDataFrame([(1, 77, 5)], cand.schema)), gone, catalog, popular, 3, "als").collect()
+    assert policy.select_items(asked.limit(0), cand, gone, catalog, popular, 3, "als").count() == 0
