@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import journal, policy, vectors
-from marlstone.operators.tables import numbered, remove, shared_folder
+from marlstone.operators import graphs, journal, policy, vectors
+from marlstone.operators.tables import numbered, remove, shared_folder, written
 from marlstone.plans import views
 from marlstone.plans.views import EVT, INTER, JOURNAL, table
 from marlstone.queries import _RET, HOUR, _catalog, _query_set, query
@@ -294,3 +294,27 @@ def fenced_generation(spark, sf_dir):
     nearline.fenced(spark, at, lambda seen: counts.limit(0).withColumn("generation", F.lit(seen + 1).cast("long")))
     nearline.fenced(spark, at, lambda seen: counts.withColumn("generation", F.lit(seen + 1).cast("long")))
     return nearline.read(spark, at)
+
+
+# --- neighbour graph -----------------------------------------------------------------------------
+
+
+def _graph(spark, sf_dir):
+    return written(graphs.build(_catalog(spark, sf_dir)), "graph")[0]
+
+
+@query("SELECT count(*) * 10 AS n, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def graph_recall(spark, sf_dir):
+    """The graph's lists against the exact ones of all stated queries: is a recall of 0.9 reached?"""
+    q = _query_set(spark, sf_dir)
+    found = graphs.search(q, _graph(spark, sf_dir), 10).select("query_id", "item_id", F.lit(1).alias("found"))
+    met = vectors.top_k(q, _catalog(spark, sf_dir), 10).join(found, ["query_id", "item_id"], "left")
+    return met.agg(F.count("*").alias("n"), (F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("reached"))
+
+
+@query("SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS faults, true AS linked FROM embeddings")
+def graph_audit(spark, sf_dir):
+    """All rows are nodes, none with a fault, and the ground layer is no bare chain."""
+    nodes = _graph(spark, sf_dir)
+    s = graphs.stats(nodes).agg(F.sum("nodes").alias("nodes"), F.min("degree").alias("d"))
+    return s.select("nodes", F.lit(graphs.faults(nodes, 16).count()).alias("faults"), (F.col("d") >= 2).alias("linked"))

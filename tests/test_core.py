@@ -446,3 +446,41 @@ def test_selected_items(spark):
     with pytest.raises(Exception, match="unknown item 77"):
         policy.select_items(asked, cand.unionByName(spark.createDataFrame([(1, 77, 5)], cand.schema)), gone, catalog, popular, 3, "als").collect()
     assert policy.select_items(asked.limit(0), cand, gone, catalog, popular, 3, "als").count() == 0
+
+
+def test_neighbour_graph(spark, tmp_path):
+    import struct
+
+    import numpy as np
+
+    from marlstone.operators import graphs
+    from marlstone.sources import graph_files
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(20, 16))[rng.integers(0, 20, 900)] + 0.4 * rng.normal(size=(900, 16))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("float32")
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000, None), (1001, [float("nan")] * 16), (1002, [])]
+    cat = spark.createDataFrame(rows, "item_id long, embedding array<float>")
+    nodes = graphs.build(cat, m=8, ef=64, per_shard=400).cache()
+    assert nodes.count() == 900 and nodes.select("shard").distinct().count() == 3
+    assert graphs.faults(nodes, 8).count() == 0 and all(r.degree > 4 for r in graphs.stats(nodes).collect())
+    got = {}
+    for r in graphs.search(cat.filter("item_id < 60").withColumnRenamed("item_id", "query_id"), nodes, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.item_id)
+    want = {i: set(np.argsort(-(v @ v[i]), kind="stable")[:10].tolist()) for i in range(60)}
+    assert np.mean([len(got[i] & want[i]) / 10 for i in want]) > 0.95
+    one = [r for r in nodes.orderBy("node").collect() if r.shard == 0]
+    entry = next(r.node for r in one if r.is_entry)
+    good = graph_files.pack([r.layers for r in one], 16, 8, entry)
+    (tmp_path / "g.bin").write_bytes(good)
+    back = graph_files.read(spark, str(tmp_path / "g.bin")).orderBy("node").collect()
+    assert [r.layers for r in back] == [r.layers for r in one]
+    put = lambda at, x: good[: 4 * at] + struct.pack("<i", x) + good[4 * at + 4 :]
+    n = len(one)
+    for bad in (good[:-4], good + b"\0\0\0\0", good[:-1], put(0, 1), put(1, n + 1), put(7, n), put(8, 99), put(8 + n, n), put(8 + n + 16 * n, 65)):
+        with pytest.raises(ValueError):
+            graph_files.parse(bad)
+    cut = nodes.filter("node <> 3")
+    assert {r.fault for r in graphs.faults(cut, 8).collect()} == {"dangling"} and {r.fault for r in graphs.faults(nodes, 2).collect()} == {"degree"}
+    nodes.unpersist()
+    assert graphs.build(cat.limit(0)).count() == 0
