@@ -12,6 +12,7 @@ from marlstone.operators.tables import numbered, remove, shared_folder, written
 from marlstone.plans import views
 from marlstone.plans.views import EVT, INTER, JOURNAL, table
 from marlstone.queries import _RET, HOUR, _catalog, _query_set, query
+from marlstone.sources import reports
 from marlstone.streaming import nearline
 
 DAY = 24 * HOUR
@@ -318,3 +319,17 @@ def graph_audit(spark, sf_dir):
     nodes = _graph(spark, sf_dir)
     s = graphs.stats(nodes).agg(F.sum("nodes").alias("nodes"), F.min("degree").alias("d"))
     return s.select("nodes", F.lit(graphs.faults(nodes, 16).count()).alias("faults"), (F.col("d") >= 2).alias("linked"))
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT CAST(floor(value * 300) AS BIGINT) AS v FROM events), l AS (SELECT i, 1 << i AS n FROM range(18) t(i))
+SELECT CAST(i AS INTEGER) AS place, 'd_us_bucket{le="' || n || '"} ' || (SELECT count(*) FROM v WHERE v <= n) AS line FROM l UNION ALL SELECT 18, 'd_us_bucket{le="+Inf"} ' || count(*) FROM v UNION ALL SELECT 19, 'd_us_count ' || count(*) FROM v UNION ALL SELECT 20, 'd_us_sum ' || sum(v) FROM v""")
+def metrics_text(spark, sf_dir):
+    return reports.exposition(table(spark, sf_dir, "events"), F.floor(F.col("value") * 300), "d_us")
+
+
+@query("""WITH r AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT CAST(0 AS BIGINT) AS place, '| event_type | n |' AS line UNION ALL SELECT 1, '|-|-|' UNION ALL SELECT 1 + row_number() OVER (ORDER BY n DESC, event_type), '| ' || event_type || ' | ' || n || ' |' FROM r""")
+def report_board(spark, sf_dir):
+    return reports.board(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")), F.desc("n"), F.col("event_type"))

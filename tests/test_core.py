@@ -484,3 +484,41 @@ def test_neighbour_graph(spark, tmp_path):
     assert {r.fault for r in graphs.faults(cut, 8).collect()} == {"dangling"} and {r.fault for r in graphs.faults(nodes, 2).collect()} == {"degree"}
     nodes.unpersist()
     assert graphs.build(cat.limit(0)).count() == 0
+
+
+def test_configuration_search(spark):
+    from marlstone.operators import tuning
+
+    calls = []
+
+    def measure(c):
+        calls.append(dict(c))
+        p99 = 10.0 * c["ef"] + (300.0 if c["kernel"] == "scalar" else 100.0)
+        return {"p99": p99, "retrieve": 10.0 * c["ef"], "score": 10.0, "feature": 1.0, "cv": 0.01, "recall": 0.80 + c["ef"] / 400, "rss": 100.0}
+
+    config, history = tuning.search(spark, measure, floor=0.88, memory=200.0, sigma=5.0, steps=6)
+    assert config == {**tuning.START, "ef": 32}
+    rows = history.collect()
+    assert [(r.knob, r.value, r.verdict) for r in rows[:3]] == [("ef", "48", "accepted"), ("ef", "32", "accepted"), ("kernel", "scalar", "noise")]
+    assert rows[-1].step == 0 and rows[-1].verdict == "accepted" and calls.count(dict(tuning.START)) >= 3
+    assert tuning.search(spark, measure, floor=0.88, memory=50.0, sigma=5.0, steps=2)[1].orderBy("step").first().verdict == "same"
+    grid = tuning.search(spark, measure, floor=0.0, memory=200.0, sigma=5.0, plan="grid", space={"ef": [16, 64]}, steps=9)
+    assert grid[0]["ef"] == 16 and grid[1].count() == 3  # the second value is tried once and does not return
+    a, b = (tuning.search(spark, measure, floor=0.0, memory=200.0, sigma=5.0, plan="random", steps=3, seed=4)[1].collect() for _ in range(2))
+    assert a == b
+
+
+def test_reports(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from marlstone.sources import reports, sinks
+
+    v = spark.createDataFrame([(1,), (3,), (200_000,), (None,)], "v long")
+    reports.write_lines(reports.exposition(v, F.col("v"), "x_us"), str(tmp_path / "m"))
+    got = dict(map(tuple, sinks.scraped(spark, str(tmp_path / "m")).collect()))
+    assert got['x_us_bucket{le="2"}'] == 1 and got['x_us_bucket{le="131072"}'] == 2 and got['x_us_bucket{le="+Inf"}'] == 3 and got["x_us_sum"] == 200_004
+    t = spark.createDataFrame([("b|c", 1.5), ("a", None)], "name string, `v 1` double")
+    reports.write_lines(reports.board(t, "name"), str(tmp_path / "b"))
+    text = next((tmp_path / "b").glob("part*")).read_text().splitlines()
+    assert text == ["| name | v 1 |", "|-|-|", "| a |  |", "| b\\|c | 1.5 |"]
+    assert reports.board(t.limit(0), "name").count() == 2 and reports.exposition(v.limit(0), F.col("v"), "x").count() == 21
