@@ -488,20 +488,6 @@ def trace_episodes(spark, sf_dir):
     return operations.episodes(calls)
 
 
-@query(f"WITH {EVT} SELECT item_id, event_time_ms - event_time_ms % {HOUR} AS window_start_ms, count(*) AS views, CAST(sum(type) AS BIGINT) AS likes FROM evt GROUP BY 1, 2")
-def stream_ctr(spark, sf_dir):
-    """The hourly rates once more, from a file stream that is run to its end; no record is dropped."""
-    import uuid
-
-    from marlstone.streaming.ctr_stream import windowed_ctr
-
-    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    stream = raw.select(F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("item_id"), (F.col("event_type") == "purchase").cast("int").alias("type"))
-    name = f"ctr_{uuid.uuid4().hex}"
-    run = windowed_ctr(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
-
 
 # --- campaigns and traces ---------------------------------------------------------------------
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import rules
 from marlstone.operators import graphs, journal, policy, vectors
 from marlstone.operators.tables import numbered, remove, shared_folder, written
 from marlstone.plans import views
@@ -14,6 +15,7 @@ from marlstone.plans.views import EVT, INTER, JOURNAL, table
 from marlstone.queries import _RET, HOUR, _catalog, _query_set, query
 from marlstone.sources import reports
 from marlstone.streaming import nearline
+from marlstone.streaming.ctr_stream import windowed_ctr
 
 DAY = 24 * HOUR
 
@@ -74,7 +76,7 @@ def lists_without_repeats(spark, sf_dir):
 
 @query("SELECT CASE WHEN k NOT BETWEEN 1 AND 50 THEN 'bad_k' WHEN r NOT BETWEEN 1 AND 65536 THEN 'bad_retrieve' WHEN t <= 0 THEN 'bad_timeout' ELSE 'ok' END AS fault, count(*) AS n FROM (SELECT o_orderkey % 60 AS k, o_custkey * 700 AS r, o_orderkey % 7 AS t FROM orders) GROUP BY 1")
 def request_bounds(spark, sf_dir):
-    fault = policy.request_fault(F.col("o_orderkey") % 60, F.col("o_custkey") * 700, F.col("o_orderkey") % 7, "pilot")
+    fault = rules.request_fault(F.col("o_orderkey") % 60, F.col("o_custkey") * 700, F.col("o_orderkey") % 7, "pilot")
     return table(spark, sf_dir, "orders").groupBy(F.coalesce(fault, F.lit("ok")).alias("fault")).agg(F.count("*").alias("n"))
 
 
@@ -90,13 +92,13 @@ SELECT page_id, id, coalesce(regexp_full_match(id, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9
 def identifier_rules(spark, sf_dir):
     h = F.when(F.col("page_id") % 3 == 0, F.upper(F.md5("url"))).otherwise(F.md5("url"))
     cut = F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    return table(spark, sf_dir, "pages").withColumn("id", cut).select("page_id", "id", policy.is_uuid(F.col("id")).alias("is_uuid"), policy.is_identifier(F.col("url")).alias("is_identifier"), policy.folded(F.upper("url")).alias("folded"))
+    return table(spark, sf_dir, "pages").withColumn("id", cut).select("page_id", "id", rules.is_uuid(F.col("id")).alias("is_uuid"), rules.is_identifier(F.col("url")).alias("is_identifier"), rules.folded(F.upper("url")).alias("folded"))
 
 
 @query("""SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_mktsegment":' || coalesce('"' || nullif(c_mktsegment, 'BUILDING') || '"', 'null') || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS payload, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS digest FROM customer""")
 def canonical_json(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("c_mktsegment", F.expr("nullif(c_mktsegment, 'BUILDING')"))
-    return c.select("c_custkey", policy.canonical(["c_nationkey", "c_name", "c_custkey", "c_mktsegment"]).alias("payload"), F.sha2(policy.canonical(["c_name", "c_custkey"]), 256).alias("digest"))
+    return c.select("c_custkey", rules.canonical(["c_nationkey", "c_name", "c_custkey", "c_mktsegment"]).alias("payload"), F.sha2(rules.canonical(["c_name", "c_custkey"]), 256).alias("digest"))
 
 
 @query("""WITH s AS (SELECT CASE event_id % 8 WHEN 0 THEN '55P03' WHEN 1 THEN '57014' WHEN 2 THEN '40001' WHEN 3 THEN '40P01' WHEN 4 THEN '08006' WHEN 5 THEN '23505' END AS state, event_type = 'error' AS gone, user_id % 10 = 0 AS pool FROM events)
@@ -104,7 +106,7 @@ SELECT CASE WHEN pool THEN 'pool_timeout' WHEN state = '55P03' THEN 'lock_timeou
 def failure_reasons(spark, sf_dir):
     codes = F.array(*(F.lit(c) for c in ("55P03", "57014", "40001", "40P01", "08006", "23505", None, None)))
     state = F.element_at(codes, (F.col("event_id") % 8 + 1).cast("int"))
-    reason = policy.failure_reason(state, F.col("event_type") == "error", F.col("user_id") % 10 == 0)
+    reason = rules.failure_reason(state, F.col("event_type") == "error", F.col("user_id") % 10 == 0)
     return table(spark, sf_dir, "events").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -113,7 +115,7 @@ SELECT item_id, regexp_replace(title, '\\s*\\(\\d{4}\\)$', '') AS title, g[1] ||
 def display_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     title = F.concat("p_name", F.lit(" (19"), (F.col("p_size") + 10).cast("string"), F.lit(")"))
-    return p.select(F.col("p_partkey").alias("item_id"), policy.plain_title(title).alias("title"), policy.genre_label(F.array("p_type", F.lit(policy.NO_GENRES), "p_brand", "p_name")).alias("genres"))
+    return p.select(F.col("p_partkey").alias("item_id"), rules.plain_title(title).alias("title"), rules.genre_label(F.array("p_type", F.lit(rules.NO_GENRES), "p_brand", "p_name")).alias("genres"))
 
 
 @query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, count(*) AS displayed FROM events WHERE (event_id % 100) / 100.0 >= 0.5 AND value * 100 >= 800 GROUP BY 1")
@@ -259,6 +261,12 @@ def _latest(spark, stream, mode, key):
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "batch")
 
 
+@query(f"WITH {EVT} SELECT item_id, event_time_ms - event_time_ms % {HOUR} AS window_start_ms, count(*) AS views, CAST(sum(type) AS BIGINT) AS likes FROM evt GROUP BY 1, 2")
+def stream_ctr(spark, sf_dir):
+    """The hourly rates once more, from a file stream that is run to its end; no record is dropped."""
+    return _latest(spark, windowed_ctr(_stream(spark, sf_dir, _records)), "update", ["item_id", "window_start_ms"])
+
+
 @query(f"WITH {EVT} SELECT item_id, count(*) AS views, CAST(sum(type) AS BIGINT) AS likes, arg_max(event_time_ms, event_id) AS last_event_ms FROM evt GROUP BY 1")
 def stream_item_state(spark, sf_dir):
     return _latest(spark, nearline.item_state(_stream(spark, sf_dir, _records)), "update", ["item_id"])

@@ -416,18 +416,19 @@ def test_publication_is_fenced(spark, tmp_path):
 def test_policy_rules_on_odd_rows(spark):
     from pyspark.sql import functions as F
 
+    from marlstone.functions import rules
     from marlstone.operators import policy
 
     ids = ["a", "", None, "x" * 128, "x" * 129, "a b", "tab\t", "ü€", "line\n"]
-    got = [r.ok for r in spark.createDataFrame([(i, v) for i, v in enumerate(ids)], "i int, v string").orderBy("i").select(policy.is_identifier(F.col("v")).alias("ok")).collect()]
+    got = [r.ok for r in spark.createDataFrame([(i, v) for i, v in enumerate(ids)], "i int, v string").orderBy("i").select(rules.is_identifier(F.col("v")).alias("ok")).collect()]
     assert got == [True, False, False, True, False, False, False, True, False]
     bounds = [(0, 5, 5), (1, 5, 5), (20, 5, 5), (21, 5, 5), (None, 5, 5), (5, 0, 5), (5, 65537, 5), (5, 5, 0), (5, 5, None)]
-    got = [r.f for r in spark.createDataFrame(bounds, "k int, r int, t int").select(policy.request_fault(F.col("k"), F.col("r"), F.col("t"), "account").alias("f")).collect()]
+    got = [r.f for r in spark.createDataFrame(bounds, "k int, r int, t int").select(rules.request_fault(F.col("k"), F.col("r"), F.col("t"), "account").alias("f")).collect()]
     assert got == ["bad_k", None, None, "bad_k", "bad_k", "bad_retrieve", "bad_retrieve", "bad_timeout", "bad_timeout"]
     left, right = spark.createDataFrame([(1,), (1,), (2,), (None,)], "i int"), spark.createDataFrame([(1,), (3,), (None,)], "i int")
     assert sorted(map(tuple, policy.not_shared(left, right, "i").collect())) == [(1, 1, 0), (2, 1, 0), (3, 0, 1)]
-    titles = spark.createDataFrame([("Heat (1995)", ["A", "B", "C"]), ("Up (2009) x", [policy.NO_GENRES]), (None, None)], "t string, g array<string>")
-    assert [tuple(r) for r in titles.select(policy.plain_title(F.col("t")), policy.genre_label(F.col("g"))).collect()] == [("Heat", "A / B"), ("Up (2009) x", ""), (None, None)]
+    titles = spark.createDataFrame([("Heat (1995)", ["A", "B", "C"]), ("Up (2009) x", [rules.NO_GENRES]), (None, None)], "t string, g array<string>")
+    assert [tuple(r) for r in titles.select(rules.plain_title(F.col("t")), rules.genre_label(F.col("g"))).collect()] == [("Heat", "A / B"), ("Up (2009) x", ""), (None, None)]
 
 
 def test_selected_items(spark):
