@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.vectors import valid
+
 TOP_LEVEL = 16
 
 
@@ -91,8 +93,7 @@ def build(catalog: DataFrame, m: int = 16, ef: int = 100, per_shard: int = 4096,
     Sound is: no null, no entry that is not finite.  Rows go to shards by the hash of their id, about ``per_shard`` in each; a repeated id stays
     repeated.  Vectors of different lengths in one shard are an error.
     """
-    sound = F.coalesce(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False)) & (F.size("embedding") > 0)
-    rows = catalog.filter(sound).select("item_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = catalog.filter(valid(F.col("embedding"))).select("item_id", F.col("embedding").cast("array<float>").alias("embedding"))
     shards = max(1, -(-rows.count() // per_shard))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int")).withColumn("level", drawn_level(F.col("item_id"), m, seed))
 

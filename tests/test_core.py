@@ -523,3 +523,16 @@ def test_reports(spark, tmp_path):
     text = next((tmp_path / "b").glob("part*")).read_text().splitlines()
     assert text == ["| name | v 1 |", "|-|-|", "| a |  |", "| b\\|c | 1.5 |"]
     assert reports.board(t.limit(0), "name").count() == 2 and reports.exposition(v.limit(0), F.col("v"), "x").count() == 21
+
+
+def test_exact_search_on_odd_vectors(spark):
+    from marlstone.operators import vectors
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [1.0]), (8, []), (None, [9.0, 9.0]), (2, [0.5, 0.5])]
+    cat = spark.createDataFrame(rows, "item_id long, embedding array<float>")
+    asked = spark.createDataFrame([(10, [1.0, 0.0]), (11, [2.0]), (12, None), (13, [nan, 0.0])], "query_id long, embedding array<float>")
+    for int8 in (False, True):
+        got = sorted((r.query_id, r["rank"], r.item_id) for r in vectors.top_k(asked, cat, 5, int8=int8).collect())
+        assert got == [(10, 1, 1), (10, 2, 2), (10, 3, 2), (11, 1, 7)]
+    assert vectors.top_k(asked.limit(0), cat, 5).count() == 0 and vectors.top_k(asked, cat.limit(0), 5).count() == 0
