@@ -21,8 +21,8 @@ DISCOUNT = 2.0
 LOWER_DISCOUNT, SHARED_DISCOUNT = 1.0, 0.75
 #: Letters of the contexts tried after a word's whole beginning.
 SHORTER = (4, 3)
-#: Different words that a task counts in memory before it sends them on.
-HELD_WORDS = 400_000
+#: Different parts of words that a task counts in memory, at most, before it sends them on.
+HELD_PARTS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -35,9 +35,10 @@ def _path(word: str) -> list[tuple[str, str]]:
 def _counted(rows: DataFrame, by: list[str], parts_of, names: list[str]) -> DataFrame:
     """``(*by, *names, n)``: how often each of ``parts_of(word)`` comes in the texts of ``rows(text, *by)``, exactly.
 
-    Tasks send on their own sums; these meet by key, so the table grows with the words of the
+    Tasks send on their own sums, ``HELD_PARTS`` of them at a time; these meet by key, so the table grows with the words of the
     corpus and no task or driver holds it whole.
     """
+    most_words = HELD_PARTS // len(parts_of("x" * (DEPTH - 1)))
 
     def sums(counts: dict[tuple, Counter]):
         found: Counter = Counter()
@@ -57,7 +58,7 @@ def _counted(rows: DataFrame, by: list[str], parts_of, names: list[str]) -> Data
             texts, keys = texts_of(b.column(0)), list(zip(*(b.column(i + 1).to_pylist() for i in range(len(by))), strict=True)) or [()] * b.num_rows
             for t, key in zip(texts, keys, strict=True):
                 counts.setdefault(key, Counter()).update(_WORD.findall(t.lower()))
-                if sum(map(len, counts.values())) > HELD_WORDS:
+                if sum(map(len, counts.values())) > most_words:
                     yield from sums(counts)
                     counts = {}
         yield from sums(counts)
