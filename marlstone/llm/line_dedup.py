@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import SPACE_RUN, as_row, discard, materialize, sized
+from marlstone.llm.common import as_row, discard, materialize, sized
 
 # Generators here are the outer ones: for the others the optimizer infers a filter on the array and pushes it
 # down, where the array is computed once more for every mention.  No line has an empty array.
@@ -21,13 +21,20 @@ SKETCH = 8
 def _lines(df: DataFrame, text: str, id_col: str) -> DataFrame:
     """``(doc, th, no, line)``; ``th`` tells apart different texts under one doc_id; a null doc_id is the smallest."""
     t = F.col(text).cast("string")
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), F.posexplode_outer(F.split(t, "\n")).alias("no", "line"))
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"))  # hashed once a text, not once a line
+    return texts.select("doc", "th", F.posexplode_outer(F.split("t", "\n")).alias("no", "line"))
+
+
+def _spaced(text: Column) -> Column:
+    """``text`` with spaces in place of other white space, but for line ends: it is split by one character then, which takes no regex for each word."""
+    other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\f")) | F.contains(text, F.lit("\r"))
+    return F.when(other, F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
 
 
 def _hashes(line: Column) -> Column:
     """64-bit hashes of the words of a line, repeats included."""
-    words = F.transform(F.split(line, SPACE_RUN), lambda w: F.xxhash64(w))
-    return F.array_remove(words, F.xxhash64(F.lit("")))  # what stands before or after white space at an end
+    words = F.transform(F.split(_spaced(line), " "), lambda w: F.xxhash64(w))
+    return F.array_remove(words, F.xxhash64(F.lit("")))  # what stands between, before or after white space
 
 
 def _overlap(nx: Column, ny: Column, percent: int) -> Column:
@@ -35,10 +42,16 @@ def _overlap(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil(percent * (nx + ny) / F.lit(100.0 + percent) - 1e-9).cast("long")
 
 
+def _enough(common: Column, nx: Column, ny: Column, percent: int) -> Column:
+    """Whether two sets with ``common`` tokens in common have a Jaccard similarity of ``percent`` / 100: whole numbers only, as it is asked for every pair that meets."""
+    return (100 + percent) * common >= percent * (nx + ny)
+
+
 def _possible(nx: Column, ny: Column, bx: tuple[Column, Column], by: tuple[Column, Column], percent: int) -> Column:
-    """Bitmap filter and length filter: neither drops a pair that is similar enough."""
+    """Length filter and bitmap filter: neither drops a pair that is similar enough.  The cheaper one comes first."""
+    nx, ny = nx.cast("long"), ny.cast("long")
     differ = F.bit_count(bx[0].bitwiseXOR(by[0])) + F.bit_count(bx[1].bitwiseXOR(by[1]))
-    return (differ <= nx + ny - 2 * _overlap(nx, ny, percent)) & (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
+    return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & _enough(F.call_function("shiftright", nx + ny - differ, F.lit(1)), nx, ny, percent)
 
 
 def rarity_levels(df: DataFrame, text: str, bits: int) -> list[int]:
@@ -47,7 +60,7 @@ def rarity_levels(df: DataFrame, text: str, bits: int) -> list[int]:
     All words of all texts are counted, combined on the map side; the result has a fixed size.
     Any order of tokens gives the same matches: a word that shares a bucket only costs time.
     """
-    words = df.select(F.explode_outer(F.split(F.col(text).cast("string"), SPACE_RUN)).alias("w"))
+    words = df.select(F.explode_outer(F.split(F.replace(_spaced(F.col(text).cast("string")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("b")).count()
     levels = [0] * (1 << bits)
     for b, x in counts.select("b", F.least(F.floor(2 * F.log2("count")), F.lit(62)).cast("int")).collect():
@@ -63,19 +76,19 @@ def _measured(lines: DataFrame, levels: list[int], percent: int) -> DataFrame:
     held = F.from_json(F.lit(str(levels)), "array<int>")  # a constant; looked up by position
 
     def token(h):
-        level = F.get(held, h.bitwiseAND(F.lit(len(levels) - 1)).cast("int")).cast("long")
+        level = F.coalesce(F.get(held, h.bitwiseAND(F.lit(len(levels) - 1)).cast("int")), F.lit(0)).cast("long")  # never null: such arrays sort as plain numbers
         return F.call_function("shiftleft", level, F.lit(HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - HASH_BITS)))
 
     step = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"), *_ORDER, _hashes(F.col("line")).alias("h"))
     step = step.select("h1", "h2", *_ORDER, F.size("h").alias("words"), F.array_distinct("h").alias("h"))
-    step = step.select("h1", "h2", *_ORDER, "words", F.sort_array(F.transform("h", token)).alias("tokens"))
-    n = F.size("tokens")
+    step = step.select("h1", "h2", *_ORDER, "words", F.size("h").alias("n"), F.sort_array(F.transform("h", token)).alias("tokens"))
+    n = F.col("n")
 
     def half(k: int) -> Column:
         bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
         return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, h: F.when(h.bitwiseAND(F.lit(64)) == 64 * k, a.bitwiseXOR(bit(h))).otherwise(a))
 
-    return step.select("h1", "h2", *_ORDER, "words", n.alias("n"), half(0).alias("b0"), half(1).alias("b1"), F.slice("tokens", 1, n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1).alias("prefix"))
+    return step.select("h1", "h2", *_ORDER, "words", "n", half(0).alias("b0"), half(1).alias("b1"), F.slice("tokens", 1, n - F.ceil(n * percent / F.lit(100.0) - 1e-9).cast("int") + 1).alias("prefix"))
 
 
 def _classes(lines: DataFrame, levels: list[int], percent: int, min_words: int) -> DataFrame:
@@ -114,7 +127,7 @@ def _by_prefix(classes: DataFrame, percent: int, part: int, parts: int) -> DataF
     open_ = F.col("x_packed").bitwiseAND(F.col("y_packed")).bitwiseAND(F.lit(1)) == 0
     longer = (nx > ny) | ((nx == ny) & (F.col("x_cid") > F.col("y_cid")))
     left = F.least(nx - px, ny - py)  # positions from 0: the token itself counts
-    joined = x.join(y, "token").filter(longer & open_ & (left >= _overlap(nx, ny, percent)) & _possible(nx, ny, (F.col("x_b0"), F.col("x_b1")), (F.col("y_b0"), F.col("y_b1")), percent))
+    joined = x.join(y, "token").filter(longer & open_ & (100 * ny >= percent * nx) & _enough(left, nx, ny, percent) & _possible(nx, ny, (F.col("x_b0"), F.col("x_b1")), (F.col("y_b0"), F.col("y_b1")), percent))
     return joined.select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
 
 

@@ -180,6 +180,28 @@ def test_line_dedup_query_takes_short_lines(spark, docs, tmp_path):
     assert {r.doc_id: r.text for r in line_dedup(spark, whole, "").filter("doc_id < 0").collect()} == {-4: "Menu\nb a\n\n \none two three four", -3: "\n ", -2: "menu\na", -1: ""}
 
 
+def test_line_dedup_filters_of_very_long_lines(spark):
+    from marlstone.llm.line_dedup import _through_pivots
+
+    n = 30_000_000  # 100 * n is no int
+    rows = [(0, 0, n, 5, 3, [1, 2]), (1, 1, n, 5, 1, [1, 2]), (2, 2, n // 2, 5, 3, [1, 2])]
+    classes = spark.createDataFrame(rows, "cid long, doc long, n int, b0 long, b1 long, prefix array<long>")
+    assert [(r.a, r.b) for r in _through_pivots(classes, 80, 4).collect()] == [(0, 1)]
+
+
+def test_line_dedup_hashes_a_text_once_and_takes_all_white_space(spark):
+    from marlstone.llm.line_dedup import _hashes, _lines
+
+    d = spark.createDataFrame([(1, "a\tb\x0bc\fd\re  f\u00a0g \n\t x"), (2, None), (3, " \r")], "doc_id long, text string")
+    lines = _lines(d, "text", "doc_id")
+    above = lines._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "xxhash64" not in above  # above the generator it would be once a line
+    want = [["a", "b", "c", "d", "e", "f\u00a0g"], ["x"], [], []]
+    got = [r.h or [] for r in lines.orderBy("doc", "no").select(_hashes(F.col("line")).alias("h")).collect()]
+    hashed = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in want[0] + want[1]}
+    assert got == [[hashed[w] for w in line] for line in want]
+
+
 def test_shards(spark, docs, odd_docs):
     from marlstone.llm.sharding import communication_matrix, shard
 
